@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, sharding
+from . import bpe, chat, sharding
 
-QUERIES = {"op2_shards": sharding.op2_shards, "op5_chat": chat.op5_chat}
+QUERIES = {
+    "op2_shards": sharding.op2_shards,
+    "op5_chat": chat.op5_chat,
+    "op10_bpe": bpe.op10_bpe,
+}
 ORACLES = {"op5_chat": chat.OP5_SQL}
