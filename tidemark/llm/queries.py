@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, sharding
+from . import bpe, chat, sharding, toxicity
 
 QUERIES = {
     "op2_shards": sharding.op2_shards,
     "op5_chat": chat.op5_chat,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op10_bpe": bpe.op10_bpe,
 }
 ORACLES = {"op5_chat": chat.OP5_SQL}
