@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, sharding, toxicity
+from . import ann, bpe, chat, quality, sharding, toxicity
 
 QUERIES = {
     "op2_shards": sharding.op2_shards,
     "op5_chat": chat.op5_chat,
+    "op6_neighbours": ann.op6_neighbours,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
 }
-ORACLES = {"op5_chat": chat.OP5_SQL}
+ORACLES = {"op5_chat": chat.OP5_SQL, "op6_neighbours": ann.OP6_SQL}
