@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, quality, sharding, toxicity
+from . import ann, bpe, chat, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op2_shards": sharding.op2_shards,
+    "op4_warc": warc.op4_warc,
     "op5_chat": chat.op5_chat,
     "op6_neighbours": ann.op6_neighbours,
     "op7_toxicity": toxicity.op7_toxicity,
