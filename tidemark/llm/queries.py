@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, quality, sharding, toxicity, warc
+from . import ann, bpe, chat, html, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op2_shards": sharding.op2_shards,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_chat": chat.op5_chat,
     "op6_neighbours": ann.op6_neighbours,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_html": html.op8_html,
     "op9_quality": quality.op9_quality,
     "op10_bpe": bpe.op10_bpe,
 }
