@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, html, quality, sharding, toxicity, warc
+from . import ann, bpe, chat, decontamination, html, quality, sharding, toxicity, warc
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_shards": sharding.op2_shards,
     "op4_warc": warc.op4_warc,
     "op5_chat": chat.op5_chat,
