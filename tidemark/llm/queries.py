@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, decontamination, html, quality, sharding, toxicity, warc
+from . import ann, bpe, chat, decontamination, html, neardup, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_shards": sharding.op2_shards,
+    "op3_neardup": neardup.op3_neardup,
     "op4_warc": warc.op4_warc,
     "op5_chat": chat.op5_chat,
     "op6_neighbours": ann.op6_neighbours,
