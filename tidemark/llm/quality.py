@@ -255,6 +255,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(scored).select("doc_id", "key", "lang", "n", "bits", "surprise", "keep")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that :func:`score` keeps, all their columns. Rows alike in doc_id and text share a verdict."""
+    bad = score(docs, labels).where("NOT keep").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    rows = docs.withColumn("__text", _key())
+    return rows.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_anti").drop("__text")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits per character, perplexity and verdict of every whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")

@@ -246,6 +246,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that score below ``TOXIC_FROM``, all their columns, by a model fitted on labelled rows of ``docs``."""
+    return score(docs, train(docs, labels)).where(F.col("__score") < TOXIC_FROM).drop("__score")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A calibrated score of every whole text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
