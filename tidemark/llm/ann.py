@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Vectors of one tile; bytes of original vectors in one group of candidate tiles, about.
-CANDIDATES, QUERIES, GROUP_BYTES = 2048, 512, 8_000_000
+#: Vectors of one tile; bytes of original vectors in one group of candidate tiles, at most about, and the least bytes for
+#: which a group of its own is made until there are FEW_GROUPS (each group gets all queries once, so groups are large
+#: where vectors are many).
+CANDIDATES, QUERIES, GROUP_BYTES, LEAST_BYTES, FEW_GROUPS = 2048, 512, 64_000_000, 500_000, 32
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -131,7 +133,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     found, asked = usable(vectors), usable(queries)
     held = cut(found)
     size = held.agg(F.sum(F.col("dims").cast("long") * 8)).first()[0] or 0
-    groups = max(1, math.ceil(size / GROUP_BYTES))
+    groups = max(1, math.ceil(size / GROUP_BYTES), min(FEW_GROUPS, math.ceil(size / LEAST_BYTES)))
     of = F.pmod(F.xxhash64("vec_id", F.hash("v")), F.lit(groups)).cast("int")
     spread = held.withColumn("part", of).repartition(groups, "part")
     candidates = _tiles(spread, CANDIDATES).select("dims", "part", F.lit(1).alias("kind"), "tile", "ids", "data")
