@@ -29,6 +29,8 @@ HELD_BACK = 5
 LOW, HIGH, FARTHER, LEAST_DOCS = 0.002, 0.995, 1.15, 30
 #: Characters beyond which a longer text's mean is not taken to be more certain.
 STEADY = 4000
+#: Languages of which the thresholds are broadcast.
+MOST_LANGUAGES = 10_000
 
 
 def _dense(first: np.ndarray, n: int, second: np.ndarray, m: int) -> tuple[np.ndarray, int]:
@@ -207,8 +209,8 @@ def _score_block(key: tuple[pa.Scalar, ...], group: pa.Table, known: pa.Table) -
 
 
 def _quantiles(rows: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
-    """Exact quantiles per lang of ``value``, to a thousandth, from counts per language and value."""
-    counts = rows.groupBy("lang", F.round(value, 3).alias("v")).agg(F.count(F.lit(1)).alias("k"))
+    """Exact quantiles per lang of ``value``, to a hundredth, from counts per language and value."""
+    counts = rows.groupBy("lang", F.round(value, 2).alias("v")).agg(F.count(F.lit(1)).alias("k"))
     rising = Window.partitionBy("lang").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.select("lang", "v", F.sum("k").over(rising).alias("upto"), F.sum("k").over(Window.partitionBy("lang")).alias("docs"))
     at = [F.min(F.when(F.col("upto") >= q * F.col("docs"), F.col("v"))).alias(name) for name, q in wanted.items()]
@@ -218,7 +220,9 @@ def _quantiles(rows: DataFrame, value: str, wanted: dict[str, float]) -> DataFra
 def _for_language(rows: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
     """``rows`` with the language's values, or those over all languages (lang '*')."""
     own = found.where((F.col("docs") >= LEAST_DOCS) & (F.col("lang") != "*")).select("lang", *[F.col(n).alias(f"own_{n}") for n in names])
-    every = found.where("lang = '*'").select(*names).first()
+    own, every = cut(own), found.where("lang = '*'").select(*names).first()
+    if own.count() <= MOST_LANGUAGES:  # else a join by language, in which large partitions can be split
+        own = F.broadcast(own)
     pick = {n: F.coalesce(F.col(f"own_{n}"), F.lit(every[n] if every else None).cast("double")) for n in names}
     return rows.join(own, "lang", "left").withColumns(pick).drop(*[f"own_{n}" for n in names])
 
