@@ -83,10 +83,11 @@ class Isotonic:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> Isotonic:
     """Pool adjacent violators; each pooled block counts at its mean margin."""
-    order = np.argsort(x, kind="stable")
+    at, of = np.unique(x, return_inverse=True)  # equal margins are one block
+    counts = np.bincount(of).astype(float)
     blocks: list[list[float]] = []  # sum of y, of x, count
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([b, a, 1.0])
+    for a, b, c in zip(at.tolist(), np.bincount(of, y).tolist(), counts.tolist(), strict=True):
+        blocks.append([b, a * c, c])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][2] >= blocks[-1][0] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [u + v for u, v in zip(blocks[-1], last, strict=True)]

@@ -143,7 +143,7 @@ class _Maybe:
 
         got = wanted.select("node").mapInArrow(place, "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
         self.table = np.zeros(1 << (64 - shift - 5), np.uint32)
-        self.table[got.w.to_numpy()] = got.b.to_numpy().astype(np.uint32)
+        self.table[got.w.to_numpy().astype(np.int64)] = got.b.to_numpy().astype(np.uint32)
 
     def has(self, nodes: np.ndarray) -> np.ndarray:
         at = (mix(nodes.view(np.uint64)) >> np.uint64(self.shift)).astype(np.int64)
