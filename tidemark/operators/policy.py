@@ -56,6 +56,26 @@ class Policy:
         return Outcome(self, marked, placed)
 
 
+def crossings(steps: DataFrame, ends: DataFrame, step: int) -> DataFrame:
+    """(end, cross_seq, cross_wm): the first arrival whose watermark reaches ``end``, for each of ``ends``; null if none.
+
+    Watermarks and ends are cut into cells; an end looks for its arrival in its own cell and, failing that, takes the
+    first arrival of the next cell that has one.
+    """
+    cell = step * 64
+    steps = steps.groupBy("wm").agg(F.min("seq").alias("seq")).select("wm", "seq", F.expr(f"wm div {cell}").alias("cell"))
+    wanted = ends.distinct().withColumn("cell", F.expr(f"end div {cell}"))
+    none = F.lit(None).cast("long")
+    both = steps.select("cell", F.col("wm").alias("at"), "seq", F.lit(1).alias("kind"), "wm").unionByName(wanted.select("cell", F.col("end").alias("at"), none.alias("seq"), F.lit(0).alias("kind"), none.alias("wm")))
+    ahead = Window.partitionBy("cell").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    move = F.when(F.col("kind") == 1, F.struct("seq", "wm"))
+    found = both.withColumn("next", F.first(move, ignorenulls=True).over(ahead)).where("kind = 0")
+    later = Window.orderBy("cell").rowsBetween(1, Window.unboundedFollowing)  # one row per cell
+    beyond = both.groupBy("cell").agg(F.min(move).alias("own")).select("cell", F.min("own").over(later).alias("beyond"))
+    hit = found.join(beyond, "cell").select(F.col("at").alias("end"), F.coalesce("next", "beyond").alias("hit"))
+    return hit.select("end", F.col("hit.seq").alias("cross_seq"), F.col("hit.wm").alias("cross_wm"))
+
+
 @dataclass
 class Outcome:
     policy: Policy
@@ -72,23 +92,8 @@ class Outcome:
         return self.placed.where("too_late").select("seq", "event_time", "key", "value", "event_id", "ingest_time", "window_start", "window_end")
 
     def _crossings(self, ends: str) -> DataFrame:
-        """(end, cross_seq, cross_wm): the first arrival whose watermark reaches ``end``, for each end that any row has.
-
-        Watermarks and ends are cut into cells; an end looks for its arrival in its own cell and, failing that, takes the
-        first arrival of the next cell that has one.
-        """
-        cell = max(self.policy.windows.step, 1) * 64
-        steps = self.marked.where("kept AND wm > wm_before OR kept AND seq = 1").select("wm", "seq", F.expr(f"wm div {cell}").alias("cell"))
-        steps = steps.groupBy("cell", "wm").agg(F.min("seq").alias("seq"))
-        wanted = self.accepted.select(F.expr(ends).alias("end")).distinct().withColumn("cell", F.expr(f"end div {cell}"))
-        both = steps.select("cell", F.col("wm").alias("at"), "seq", F.lit(1).alias("kind"), "wm").unionByName(wanted.select("cell", F.col("end").alias("at"), F.lit(None).cast("long").alias("seq"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("wm")))
-        ahead = Window.partitionBy("cell").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        found = both.withColumn("next", F.first(F.when(F.col("kind") == 1, F.struct("seq", "wm")), ignorenulls=True).over(ahead)).where("kind = 0")
-        later = Window.orderBy("cell").rowsBetween(1, Window.unboundedFollowing)  # one row per cell
-        cells = both.groupBy("cell").agg(F.min(F.when(F.col("kind") == 1, F.struct("seq", "wm"))).alias("own"))
-        beyond = cells.select("cell", F.min("own").over(later).alias("beyond"))
-        hit = found.join(beyond, "cell").select(F.col("at").alias("end"), F.coalesce("next", "beyond").alias("hit"))
-        return hit.select("end", F.col("hit.seq").alias("cross_seq"), F.col("hit.wm").alias("cross_wm"))
+        steps = self.marked.where("kept AND (wm > wm_before OR seq = 1)").select("wm", "seq")
+        return crossings(steps, self.accepted.select(F.expr(ends).alias("end")), self.policy.windows.step)
 
     def _fired(self) -> DataFrame:
         """Accepted rows with fire_seq and fire_wm of their key and window (null: flushed at the end)."""
