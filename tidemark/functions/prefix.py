@@ -1,40 +1,59 @@
 """Running values over a total order without one task that holds all rows.
 
 Rows are cut into buckets along the order; each bucket is summed up, the few summaries are run over, and what lies before a
-bucket is joined to its rows. The bucket must rise with the order.
+bucket is joined to its rows, which are already dealt by bucket. The bucket must rise with the order.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _before(df: DataFrame, bucket: str, summary: Column, combine) -> DataFrame:
-    """(bucket, before): ``combine`` over the summaries of all earlier buckets. One row per bucket: small."""
-    earlier = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return df.groupBy(bucket).agg(summary.alias("__own")).select(bucket, combine("__own").over(earlier).alias("__before"))
+@dataclass(frozen=True)
+class Running:
+    """A running count (no value), sum or max of a column, with or without the row itself."""
+
+    kind: str
+    value: str | None = None
+    inclusive: bool = True
+
+    def over(self, window) -> Column:
+        return {"count": lambda: F.count(F.lit(1)), "sum": lambda: F.sum(self.value), "max": lambda: F.max(self.value)}[self.kind]().over(window)
+
+    def whole(self) -> Column:
+        return {"count": lambda: F.count(F.lit(1)), "sum": lambda: F.sum(self.value), "max": lambda: F.max(self.value)}[self.kind]()
+
+    def combine(self, own: Column, before: Column) -> Column:
+        return F.greatest(own, before) if self.kind == "max" else F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0))
+
+    def of_summaries(self, column: str, window) -> Column:
+        return (F.max(column) if self.kind == "max" else F.sum(column)).over(window)
+
+
+def running(df: DataFrame, bucket: str, order: list[str], wanted: dict[str, Running]) -> DataFrame:
+    """``df`` with running values; one shuffle, by bucket, and one sort for all of them."""
+    earlier = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    whole = df.groupBy(bucket).agg(*[r.whole().alias(f"__all_{n}") for n, r in wanted.items()])
+    offsets = whole.select(bucket, *[r.of_summaries(f"__all_{n}", earlier).alias(f"__before_{n}") for n, r in wanted.items()])
+    frame = lambda r: Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)
+    rows = df.withColumns({f"__own_{n}": r.over(frame(r)) for n, r in wanted.items()}).join(offsets, bucket)
+    done = rows.withColumns({n: r.combine(F.col(f"__own_{n}"), F.col(f"__before_{n}")) for n, r in wanted.items()})
+    return done.drop(*[f"__{x}_{n}" for n in wanted for x in ("own", "before")])
 
 
 def number(df: DataFrame, bucket: str, order: list[str], name: str = "seq") -> DataFrame:
     """``df`` with its place in the order, from 1."""
-    within = Window.partitionBy(bucket).orderBy(*order)
-    offsets = _before(df, bucket, F.count(F.lit(1)), F.sum)
-    numbered = df.withColumn("__row", F.row_number().over(within)).join(offsets, bucket)
-    return numbered.withColumn(name, (F.col("__row") + F.coalesce("__before", F.lit(0))).cast("long")).drop("__row", "__before")
+    return running(df, bucket, order, {name: Running("count")})
 
 
 def running_max(df: DataFrame, bucket: str, order: str, value: str, name: str, inclusive: bool = True) -> DataFrame:
     """``df`` with the largest ``value`` so far (null before the first row, if the row itself doesn't count)."""
-    within = Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    offsets = _before(df, bucket, F.max(value), F.max)
-    run = df.withColumn("__run", F.max(value).over(within)).join(offsets, bucket)
-    return run.withColumn(name, F.greatest("__run", "__before")).drop("__run", "__before")
+    return running(df, bucket, [order], {name: Running("max", value, inclusive)})
 
 
 def running_sum(df: DataFrame, bucket: str, order: str, value: str, name: str) -> DataFrame:
     """``df`` with the sum of ``value`` so far."""
-    within = Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    offsets = _before(df, bucket, F.sum(value), F.sum)
-    run = df.withColumn("__run", F.sum(value).over(within)).join(offsets, bucket)
-    return run.withColumn(name, F.col("__run") + F.coalesce("__before", F.lit(0))).drop("__run", "__before")
+    return running(df, bucket, [order], {name: Running("sum", value)})

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import Mergeable, aggregate
+from ..functions.lineage import cut
 from ..functions.prefix import running_sum
 from ..functions.windows import Sliding, Tumbling
 from .dedup import expired, mark_kept
@@ -49,6 +50,8 @@ class Policy:
 
     def run(self, arrivals: DataFrame) -> Outcome:
         marked = mark_kept(self.watermark.apply(arrivals), self.dedup_ttl)
+        # several results need these rows, and their order costs a sort: made once
+        marked = cut(marked.select("seq", "event_time", "key", "value", "event_id", "ingest_time", "wm", "wm_before", "kept"))
         kept = marked.where("kept")
         time = F.col("event_time" if self.domain == "event" else "ingest_time")
         placed = kept.withColumn("window_start", F.explode(self.windows.starts(time))).withColumn("window_end", F.col("window_start") + self.windows.size)

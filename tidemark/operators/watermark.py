@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import running_max
+from ..functions.prefix import Running, running, running_max
 
 #: What the watermark is before anything has passed.
 NONE = -1
@@ -25,10 +25,10 @@ class BoundedLag:
 
     def apply(self, arrivals: DataFrame) -> DataFrame:
         """``arrivals`` with wm, and wm_before: the watermark that the arrival found."""
-        run = running_max(arrivals, "bucket", "seq", "event_time", "__seen")
-        run = running_max(run, "bucket", "seq", "event_time", "__seen_before", inclusive=False)
+        if not {"latest", "latest_before"} <= set(arrivals.columns):
+            arrivals = running(arrivals, "bucket", ["seq"], {"latest": Running("max", "event_time"), "latest_before": Running("max", "event_time", inclusive=False)})
         at = lambda c: F.greatest(F.lit(NONE).cast("long"), F.col(c) - self.lag)
-        return run.withColumns({"wm": at("__seen"), "wm_before": F.coalesce(at("__seen_before"), F.lit(NONE).cast("long"))}).drop("__seen", "__seen_before")
+        return arrivals.withColumns({"wm": at("latest"), "wm_before": F.coalesce(at("latest_before"), F.lit(NONE).cast("long"))})
 
 
 @dataclass(frozen=True)
@@ -62,11 +62,12 @@ class PercentileLag:
         index = F.least((F.lit(self.percentile) * n).cast("int"), n - 1)
         lagged = spread.withColumn("__delays", F.sort_array(F.collect_list("__delay").over(last))).where("__own")
         lagged = lagged.withColumn("estimated_lag", F.greatest(F.get("__delays", index), F.lit(self.minimum_lag)).cast("long")).drop("__delays", "__delay", "__part", "__own")
-        seen = running_max(lagged, "bucket", "seq", "event_time", "__seen").withColumn("__at", F.col("__seen") - F.col("estimated_lag"))
-        run = running_max(seen, "bucket", "seq", "__at", "__wm")
-        run = running_max(run, "bucket", "seq", "__at", "__wm_before", inclusive=False)
+        if "latest" not in lagged.columns:
+            lagged = running_max(lagged, "bucket", "seq", "event_time", "latest")
+        timed = lagged.withColumn("__at", F.col("latest") - F.col("estimated_lag"))
+        run = running(timed, "bucket", ["seq"], {"__wm": Running("max", "__at"), "__wm_before": Running("max", "__at", inclusive=False)})
         at = lambda c: F.greatest(F.lit(NONE).cast("long"), F.coalesce(F.col(c), F.lit(NONE).cast("long")))
-        return run.withColumns({"wm": at("__wm"), "wm_before": at("__wm_before")}).drop("__seen", "__at", "__wm", "__wm_before")
+        return run.withColumns({"wm": at("__wm"), "wm_before": at("__wm_before")}).drop("__at", "__wm", "__wm_before")
 
 
 WATERMARKS = {"bounded": BoundedLag, "percentile": PercentileLag}

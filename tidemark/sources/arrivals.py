@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.prefix import number
+from ..functions.prefix import Running, running
 from .tables import table
 
 #: Seconds of arrival that one task numbers.
@@ -16,9 +16,11 @@ BUCKET = 6 * 3600
 
 
 def in_order(rows: DataFrame, bucket_seconds: int = BUCKET) -> DataFrame:
-    """``rows`` numbered by ingest_time, event_id, is_retry. Time buckets are numbered apart; no task holds all rows."""
+    """``rows`` numbered by ingest_time, event_id, is_retry (seq), with the latest event time up to and before each
+    (latest, latest_before), which watermarks are made of. Time buckets are numbered apart; no task holds all rows."""
     order = ["ingest_time", "event_id", "is_retry"]
-    return number(rows.withColumn("bucket", F.expr(f"ingest_time div {bucket_seconds}")), "bucket", order)
+    wanted = {"seq": Running("count"), "latest": Running("max", "event_time"), "latest_before": Running("max", "event_time", inclusive=False)}
+    return running(rows.withColumn("bucket", F.expr(f"ingest_time div {bucket_seconds}")), "bucket", order, wanted)
 
 
 def checked(rows: DataFrame) -> DataFrame:

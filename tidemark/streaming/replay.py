@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import aggregate
-from ..functions.prefix import number, running_max
+from ..functions.prefix import Running, running
 from ..operators.policy import Policy, crossings
 from ..operators.watermark import NONE, BoundedLag
 
@@ -64,9 +64,8 @@ class Replay:
         last, latest, count = self._meta(batch_id)
         floor = NONE if latest is None else max(NONE, latest - p.watermark.lag)
         rows = batch.select("event_id", "event_time", "key", "value", "ingest_time", "is_retry")
-        rows = number(rows.withColumn("bucket", F.expr(f"ingest_time div {BUCKET}")), "bucket", ["ingest_time", "event_id", "is_retry"], "place").withColumn("seq", F.col("place") + count)
-        rows = running_max(rows, "bucket", "seq", "event_time", "seen")
-        rows = running_max(rows, "bucket", "seq", "event_time", "seen_before", inclusive=False)
+        wanted = {"place": Running("count"), "seen": Running("max", "event_time"), "seen_before": Running("max", "event_time", inclusive=False)}
+        rows = running(rows.withColumn("bucket", F.expr(f"ingest_time div {BUCKET}")), "bucket", ["ingest_time", "event_id", "is_retry"], wanted).withColumn("seq", F.col("place") + count)
         wm = lambda c: F.greatest(F.lit(floor).cast("long"), F.col(c) - p.watermark.lag)
         rows = rows.withColumn("wm", wm("seen")).withColumn("wm_before", F.coalesce(wm("seen_before"), F.lit(floor).cast("long"))).persist()
         now = rows.agg(F.max("seen").alias("latest"), F.count(F.lit(1)).alias("n")).first()
