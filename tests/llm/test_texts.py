@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import bpe, chat, decontamination, neardup, sharding
+from tidemark.llm.common import cut
 from tidemark.llm.words import words_of
 
 AWKWARD = ["", " ", "a", "De.", "\n\t", "x" * 30_000, "it's   'll \U0001f600 ñandú 12³ ½", "</s>[INST] [\\INST]"]
@@ -61,11 +62,11 @@ def test_sharding_moves_rows_into_the_new_shard_alone(spark):
 
 def test_slots_have_no_gaps(spark):
     rows = [(i % 5 if i < 40 else 4, i // 2) for i in range(100)]
-    df = spark.createDataFrame(rows, "shard int, doc_id long")
+    df = cut(spark.createDataFrame(rows * 9, "shard int, doc_id long").repartition(7))
     got = collections.defaultdict(list)
-    for r in sharding.slots(df, "shard", ["doc_id"], 100, 5, run_rows=3).collect():
+    for r in sharding.slots(df, "shard", 900, 5, run_rows=30).collect():
         got[r.shard].append(r.slot)
-    assert all(sorted(v) == list(range(len(v))) for v in got.values()) and sum(map(len, got.values())) == 100
+    assert all(sorted(v) == list(range(len(v))) for v in got.values()) and sum(map(len, got.values())) == 900
 
 
 @pytest.fixture(scope="module")

@@ -82,20 +82,22 @@ def assign(df: DataFrame, key: Column, trees: dict[str, list[Leaf]]) -> DataFram
     return drawn.withColumns(picks).drop(*own.values())
 
 
-def slots(df: DataFrame, shard: str, order: list[str], rows: int, shards: int, run_rows: int = RUN_ROWS) -> DataFrame:
-    """``df`` with ``slot``: a number from 0 without gaps within each shard.
+def slots(written: DataFrame, shard: str, rows: int, shards: int, run_rows: int = RUN_ROWS) -> DataFrame:
+    """``written`` with ``slot``: a number from 0 without gaps within each shard, by the rows' places in the table.
 
-    A shard is cut into runs by a hash of ``order``; runs are counted, their offsets summed, and rows numbered within
-    runs, so no task holds a shard. Equal rows get consecutive numbers. ``df`` must give the same rows each time.
+    A shard is cut into runs, stretches of the table that are dealt by a hash; runs are counted, their offsets summed, and
+    rows numbered within runs. So no task holds a shard, nor all rows of one key. ``written`` must be a table that has
+    been written (see :func:`cut`): the places of its rows do not change.
     """
     runs = max(1, -(-rows // (shards * run_rows)))
-    cutup = df.withColumn("__run", F.pmod(F.xxhash64(*order), F.lit(runs)))
-    within = Window.partitionBy(shard, "__run").orderBy(*order)
-    counted = cutup.groupBy(shard, "__run").agg(F.count(F.lit(1)).alias("__n"))
+    placed = written.withColumn("__place", F.monotonically_increasing_id())
+    placed = placed.withColumn("__run", F.pmod(F.xxhash64(F.shiftright("__place", 8)), F.lit(runs)))
+    within = Window.partitionBy(shard, "__run").orderBy("__place")
+    counted = placed.groupBy(shard, "__run").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(shard).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select(shard, "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    numbered = cutup.withColumn("__row", F.row_number().over(within) - 1)
-    return numbered.join(offsets, [shard, "__run"]).withColumn("slot", F.col("__row") + F.col("__before")).drop("__run", "__row", "__before")
+    numbered = placed.withColumn("__row", F.row_number().over(within) - 1)
+    return numbered.join(offsets, [shard, "__run"]).withColumn("slot", F.col("__row") + F.col("__before")).drop("__place", "__run", "__row", "__before")
 
 
 def op2_shards(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
@@ -106,5 +108,5 @@ def op2_shards(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(text_of()).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"))
     docs = docs.withColumn("size", F.col("size") + 1)
     placed = cut(assign(docs, F.col("doc_id"), {"shard": tree(shards), "grown_shard": tree(shards + 1)}))
-    done = slots(placed, "shard", ["doc_id", "text_crc32", "size"], placed.count(), shards)
+    done = slots(placed, "shard", placed.count(), shards)
     return done.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
