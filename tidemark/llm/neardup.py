@@ -218,8 +218,8 @@ def link(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
 def _compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     nodes = group.column("node").to_numpy()
     order = np.argsort(nodes)
-    items = group.column("items").to_pylist()
-    root = link([np.frombuffer(items[i], np.uint64) for i in order.tolist()])
+    items = group.column("items").combine_chunks()
+    root = link([np.frombuffer(items[i].as_buffer(), np.uint64) for i in order.tolist()])
     nodes = nodes[order]
     other = np.flatnonzero(root != np.arange(len(root)))
     return pa.table({"a": nodes[root[other]], "b": nodes[other]})
@@ -267,9 +267,10 @@ def classes(docs: DataFrame) -> DataFrame:
     placed = placed.select("leader", "node", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
     held = placed.join(_sets(docs, members.select("node").distinct()), "node")
     edges = held.groupBy("leader", "i", "j").applyInArrow(_compare, "a long, b long")
-    roots = components(edges)
-    rooted = slim.select("doc_id", "key", "node").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first"))
+    # cut, so that the joins stand on plain exchanges, in which a partition with a large class can be split
+    roots = cut(components(edges))
+    rooted = cut(slim.select("doc_id", "key", "node").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root")))
+    names = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")))
     return rooted.join(names, "root").select("doc_id", "key", "class_id", ((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("key") == F.col("first.key"))).alias("is_first"))
 
 
