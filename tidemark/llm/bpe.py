@@ -29,8 +29,10 @@ SHORT_TAILS, LONG_TAILS = "stmd", ("re", "ve", "ll")
 FRESH, IN_L, IN_N, IN_O, JOIN, IN_W, TAKE1, TAKE2 = range(8)
 #: Columns of one scanned row.
 WIDTH = 64
+#: Bytes of text that are encoded at a time.
+STEP_BYTES = 1_000_000
 #: Words and their ids that one Python worker keeps.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 250_000
 
 
 @functools.cache
@@ -266,7 +268,7 @@ def encode_documents(df: DataFrame, path: str, with_ids: bool = True) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text", STEP_BYTES):
             ids, cuts, _ = codec.encode(texts)
             cuts = cuts.tolist()
             spans = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]

@@ -6,10 +6,11 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Code points that one vectorised step takes at most; a longer text is a step of its own.
+#: Bytes of text that one vectorised step takes at most; a longer text is a step of its own.
 CHUNK_CHARS = 2_000_000
 
 
@@ -55,14 +56,18 @@ def text_of(column: str = "text"):
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches whose texts hold about ``most`` code points together, with the texts (null read as empty)."""
+    """Slices of the batches whose texts hold about ``most`` bytes together, with the texts (null read as empty).
+
+    Only one slice's texts are Python strings at a time, and what Arrow no longer needs goes back to the system.
+    """
     for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+        texts = batch.column(batch.schema.get_field_index(column))
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         start = held = 0
-        for i, t in enumerate(texts):
-            if i > start and held + len(t) > most:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate([*sizes, most + 1]):
+            if i > start and (held + n > most or i == len(sizes)):
+                yield batch.slice(start, i - start), [t or "" for t in texts.slice(start, i - start).to_pylist()]
                 start, held = i, 0
-            held += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            held += n
+        del batch, texts
+        pa.default_memory_pool().release_unused()

@@ -19,7 +19,7 @@ from .common import cut, table, text_of
 
 ORDER = 4
 #: Code points of a block, about. Blocks follow from the size of all texts.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 6_000_000
 #: Stand before and behind every text (private use). Fixed values.
 BEFORE, BEHIND = "\ue000", "\ue001"
 #: One in so many trusted documents isn't trained on; thresholds are quantiles of these.
@@ -35,15 +35,16 @@ MOST_LANGUAGES = 10_000
 
 def _dense(first: np.ndarray, n: int, second: np.ndarray, m: int) -> tuple[np.ndarray, int]:
     """Numbers without gaps for pairs of numbers below n and m."""
-    keys = first.astype(np.int64) * m + second
-    if n * m <= 1 << 26:
+    if n * m <= 1 << 24:
+        keys = first.astype(np.int32) * np.int32(m)
+        keys += second
         there = np.zeros(n * m, bool)
         there[keys] = True
         found = np.flatnonzero(there)
         rank = np.empty(n * m, np.int32)
         rank[found] = np.arange(len(found), dtype=np.int32)
         return rank[keys], len(found)
-    found, number = np.unique(keys, return_inverse=True)
+    found, number = np.unique(first.astype(np.int64) * m + second, return_inverse=True)
     return number.astype(np.int32), len(found)
 
 
@@ -60,6 +61,7 @@ class Grams:
         rank = np.zeros(0x110000, np.int32)
         rank[letters] = np.arange(len(letters))
         single = rank[cp]
+        del cp
         ids, n = single, len(letters)
         for i in range(1, order):
             ids, n = _dense(ids[: len(ids) - 1], n, single[i:], len(letters))
@@ -69,12 +71,12 @@ class Grams:
         for i in range(1, order):  # windows that would run into the next text
             at = starts[1:-1] - i
             inside[at] = False
+        at = np.full(n, -1, np.int64)
+        for i in range(0, len(ids), 1 << 20):  # a place where each stands; in steps, to need less memory
+            own = np.flatnonzero(inside[i : i + (1 << 20)]) + i
+            at[ids[own]] = own
         self.sizes, self.ids = sizes, ids[inside]
-        at = np.zeros(n, np.int64)
-        at[ids[inside][::-1]] = np.flatnonzero(inside)[::-1]
-        self.used = np.zeros(n, bool)
-        self.used[self.ids] = True
-        self.numbers = np.flatnonzero(self.used)
+        self.numbers = np.flatnonzero(at >= 0)
         self.names = [joined[a : a + order] for a in at[self.numbers].tolist()]
         self.n = n
 
@@ -88,7 +90,11 @@ class Grams:
         full[self.numbers] = values
         if not len(self.sizes):
             return np.zeros(0)
-        return np.add.reduceat(full[self.ids], np.append(0, np.cumsum(self.sizes))[:-1])
+        cuts, out = np.append(0, np.cumsum(self.sizes)), np.zeros(len(self.sizes))
+        for i in range(0, len(out), 256):
+            a, b = cuts[i], cuts[min(i + 256, len(out))]
+            out[i : i + 256] = np.add.reduceat(full[self.ids[a:b]], cuts[i : min(i + 256, len(out))] - a)
+        return out
 
 
 def _packed(df: DataFrame, kind: int) -> DataFrame:
@@ -205,6 +211,7 @@ def _score_block(key: tuple[pa.Scalar, ...], group: pa.Table, known: pa.Table) -
     logs = dict(zip(known.column("gram").to_pylist(), known.column("logp").to_pylist(), strict=True))
     sums = grams.sums(np.fromiter(map(logs.__getitem__, grams.names), np.float64, len(grams.names)))
     bits = -sums / grams.sizes / math.log(2)
+    pa.default_memory_pool().release_unused()
     return pa.table({"doc_id": docs.column("doc_id"), "key": docs.column("key"), "lang": docs.column("lang"), "trusted": pa.array(trusted), "held_back": pa.array(trusted & _held_back(docs)), "n": pa.array(grams.sizes, pa.int64()), "bits": pa.array(bits)})
 
 
