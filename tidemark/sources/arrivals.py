@@ -5,7 +5,9 @@ Columns: seq (place in the order of arrival), event_time, ingest_time (seconds),
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prefix import Running, running
@@ -44,9 +46,9 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(first.unionByName(again))
 
 
-def _unit(*what) -> Column:
-    """A number in (0, 1) that follows from ``what``."""
-    return (F.pmod(F.xxhash64(*[F.lit(x) if isinstance(x, (int, str)) and x != "id" else F.col(x) if isinstance(x, str) else x for x in what]), F.lit(1 << 30)) + 0.5) / (1 << 30)
+def _unit(salt: str, *columns: Column | str) -> Column:
+    """A number in (0, 1) that follows from a salt and columns."""
+    return (F.pmod(F.xxhash64(F.lit(salt), *columns), F.lit(1 << 30)) + 0.5) / (1 << 30)
 
 
 def mixed_stream(
@@ -56,7 +58,7 @@ def mixed_stream(
     """Keyed events with exponential delays, some very late and some sent twice; the key ``refund`` takes money away."""
     if not 0 <= late_fraction < 1:
         raise ValueError("late_fraction must lie in [0, 1)")
-    u = lambda what: _unit("id", f"{seed}:{what}")
+    u = lambda what: _unit(f"{seed}:{what}", "id")
     kinds = F.array(*[F.lit(k) for k in keys])
     typical = F.least((-F.log(u("delay")) * typical_delay).cast("long"), F.lit(max_delay).cast("long"))
     late = (late_delay + F.floor(u("late") * (late_delay + 1))).cast("long")
@@ -77,17 +79,15 @@ def mixed_stream(
 
 def sessions_stream(spark: SparkSession, users: int = 40, horizon: int = 3600, gap: int = 60, seed: int = 0) -> DataFrame:
     """Users who act in bursts: steps within a burst stay far below ``gap``, pauses between bursts beyond it."""
-    u = lambda *what: _unit(*what)
-    bursts = spark.range(users).select("id", F.explode(F.sequence(F.lit(1), (1 + F.floor(u("id", f"{seed}:bursts") * 4)).cast("int"))).alias("burst"))
-    acts = bursts.select("id", "burst", F.explode(F.sequence(F.lit(1), (2 + F.floor(u("id", F.col("burst"), f"{seed}:acts") * 7)).cast("int"))).alias("act"))
-    step = 1 + F.floor(u("id", F.col("burst"), F.col("act"), f"{seed}:step") * max(gap // 4, 2))
-    pause = F.when((F.col("act") == 1) & (F.col("burst") > 1), gap + 5 + F.floor(u("id", F.col("burst"), f"{seed}:pause") * (gap - 4))).otherwise(0)
-    start = F.floor(u("id", f"{seed}:start") * (horizon / 2))
-    from pyspark.sql import Window
-
+    u = lambda what, *columns: _unit(f"{seed}:{what}", "id", *columns)
+    bursts = spark.range(users).select("id", F.explode(F.sequence(F.lit(1), (1 + F.floor(u("bursts") * 4)).cast("int"))).alias("burst"))
+    acts = bursts.select("id", "burst", F.explode(F.sequence(F.lit(1), (2 + F.floor(u("acts", "burst") * 7)).cast("int"))).alias("act"))
+    step = 1 + F.floor(u("step", "burst", "act") * max(gap // 4, 2))
+    pause = F.when((F.col("act") == 1) & (F.col("burst") > 1), gap + 5 + F.floor(u("pause", "burst") * (gap - 4))).otherwise(0)
+    start = F.floor(u("start") * (horizon / 2))
     so_far = Window.partitionBy("id").orderBy("burst", "act").rowsBetween(Window.unboundedPreceding, 0)
     timed = acts.withColumn("event_time", (start + F.sum(step + pause).over(so_far)).cast("long")).where(F.col("event_time") <= horizon)
-    late = F.least((-F.log(u("id", F.col("burst"), F.col("act"), f"{seed}:delay")) * 2).cast("long"), F.lit(5).cast("long"))
+    late = F.least((-F.log(u("delay", "burst", "act")) * 2).cast("long"), F.lit(5).cast("long"))
     rows = timed.select(
         (F.col("id") * 1000 + F.col("burst") * 100 + F.col("act")).alias("event_id"), "event_time", F.format_string("user%03d", "id").alias("key"), F.col("id").alias("user_id"),
         F.lit(1.0).alias("value"), (F.col("event_time") + late).alias("ingest_time"), F.lit(0).alias("is_retry"),
@@ -97,18 +97,12 @@ def sessions_stream(spark: SparkSession, users: int = 40, horizon: int = 3600, g
 
 def skewed_stream(spark: SparkSession, n: int = 20000, distinct_keys: int = 5000, exponent: float = 1.1, seed: int = 0) -> DataFrame:
     """Keys by a Zipf law, one arrival a second: each draw is looked up in the law's cumulative shares."""
-    from itertools import accumulate
-
     total = list(accumulate(1 / (k + 1) ** exponent for k in range(distinct_keys)))
-    shares = F.array(*[F.lit(t / total[-1]) for t in total]) if distinct_keys <= 256 else None
-    if shares is None:  # the shares as a table, cut into equal cells so that each draw meets few candidates
-        cells = 4096
-        cdf = spark.createDataFrame([(k, (total[k - 1] if k else 0.0) / total[-1], t / total[-1]) for k, t in enumerate(total)], "k int, low double, high double")
-        cdf = cdf.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))))
-        drawn = spark.range(n).withColumn("u", _unit("id", f"{seed}:zipf")).withColumn("cell", F.floor(F.col("u") * cells))
-        keyed = drawn.join(F.broadcast(cdf), (drawn.cell == cdf.cell) & (drawn.u >= cdf.low) & (drawn.u < cdf.high)).select("id", "k")  # the law's table: one row per key
-    else:
-        keyed = spark.range(n).withColumn("u", _unit("id", f"{seed}:zipf")).select("id", (F.size(F.filter(shares, lambda s: s <= F.col("u")))).alias("k"))
+    cells = 4096  # the shares as a table, cut into equal cells so that each draw meets few candidates
+    cdf = spark.createDataFrame([(k, (total[k - 1] if k else 0.0) / total[-1], t / total[-1]) for k, t in enumerate(total)], "k int, low double, high double")
+    cdf = cdf.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))))
+    drawn = spark.range(n).withColumn("u", _unit(f"{seed}:zipf", "id")).withColumn("cell", F.floor(F.col("u") * cells))
+    keyed = drawn.join(F.broadcast(cdf), (drawn.cell == cdf.cell) & (drawn.u >= cdf.low) & (drawn.u < cdf.high)).select("id", "k")  # the law's table: a few rows per key
     rows = keyed.select(F.col("id").alias("event_id"), F.col("id").alias("event_time"), F.format_string("k%05d", "k").alias("key"), F.col("id").alias("user_id"), F.lit(1.0).alias("value"), F.col("id").alias("ingest_time"), F.lit(0).alias("is_retry"))
     return in_order(rows, max(1, n // 16))
 
@@ -130,8 +124,6 @@ def true_total(stream: DataFrame, key: str | None = None) -> DataFrame:
 
 def summary(stream: DataFrame) -> DataFrame:
     """Arrivals, unique events, duplicates, upper median and largest delay: one row, from counts per delay."""
-    from pyspark.sql import Window
-
     per_delay = stream.groupBy(delay().alias("delay")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.orderBy("delay").rowsBetween(Window.unboundedPreceding, 0)  # one row per delay
     ranked = per_delay.select("delay", F.sum("n").over(order).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("arrivals"))
