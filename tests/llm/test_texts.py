@@ -135,6 +135,30 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert decontamination.matches(table, bench.limit(0)).count() == 0 and decontamination.matches(table.limit(0), bench).count() == 0
 
 
+def test_bound_holds_every_alignment():
+    r = np.random.default_rng(7)
+    for _ in range(300):
+        a = r.integers(0, 30, int(r.integers(1, 25))).astype(np.uint64)
+        b = np.concatenate([r.integers(0, 30, int(r.integers(0, 9))).astype(np.uint64), np.delete(a, r.integers(0, len(a), 3)), r.integers(0, 30, 9).astype(np.uint64)])
+        assert decontamination.most(a, b) >= decontamination.smith_waterman(a, b)[0]
+
+
+@pytest.mark.parametrize("places", [1 << 20, 30])
+def test_decontamination_finds_edited_copies_that_are_common(spark, monkeypatch, places):
+    monkeypatch.setattr(decontamination, "MOST_PLACES", places)
+    r = random.Random(11)
+    items = [(i, " ".join(f"{r.choice(WORDS)}{i}" for _ in range(20 + 20 * i))) for i in range(3)]
+    edited = [f"zzz{i}" if i % 5 == 2 else x for i, x in enumerate(items[0][1].split())]
+    docs = [(i, f"{prose(r, 30)} {' '.join(edited)} {prose(r, 30)}") for i in range(60)]
+    docs += [(100 + i, f"{prose(r, 30)} {' '.join(items[1][1].split()[:20])} {prose(r, 30)}") for i in range(100)]
+    docs += [(200 + i, f"{prose(r, 30)} {items[1][1]} {prose(r, 30)}") for i in range(6)]
+    docs += [(300 + i, f"{prose(r, 30)} {' '.join(items[2][1].split()[:6])} {prose(r, 30)}") for i in range(80)]
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x.doc_id, x.item_id) for x in decontamination.matches(table, bench).collect())
+    assert got == [(i, 0) for i in range(60)] + [(100 + i, 1) for i in range(100)] + [(200 + i, 1) for i in range(6)]
+    assert sorted(x.doc_id for x in decontamination.clean(table, bench).collect()) == list(range(300, 380))
+
+
 def brute_classes(rows):
     sets = []
     for _, text in rows:

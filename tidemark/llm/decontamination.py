@@ -1,4 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them.
+
+No seed is dropped for being common: where an item's other words are edited, a common seed may be all that a document
+shares with it. What a common seed hits in vain is ruled out by a bound on the alignment's score, which loses nothing.
+"""
 
 from __future__ import annotations
 
@@ -12,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, table, text_of
-from .words import Words, words_of
+from .words import BASE, Words, words_of
 
 #: Words of a seed, words that an item needs, and the share of an item's words from which an alignment counts.
 SEED, LEAST_WORDS, LEAST_SCORE = 4, 8, 0.4
 #: Scores of an equal word, another word, and a word that only one side has.
 MATCH, OTHER, GAP = 1.0, -0.5, 0.5
-#: A seed is common where it is in so many times the documents that a quarter of its item's seeds stay below, and so many more.
-COMMON, ALLOWED = 3, 50
+#: Places of items that hits are spread to at once, about (whole texts).
+MOST_PLACES = 1 << 20
 #: Bytes of test items that are held at once; more items take more passes.
 BLOCK_BYTES = 16 << 20
 
@@ -55,16 +59,6 @@ class Items:
         hit = self.keys[key] == hashes[at]
         return at[hit], key[hit]
 
-    def rare(self, documents: np.ndarray) -> Items:
-        """Without the common seeds, by the number of documents that hold each. An item keeps a quarter of its seeds at least."""
-        spread = np.repeat(documents, np.diff(self.first))
-        limit = np.zeros(len(self.ids))
-        for i in np.unique(self.item):
-            limit[i] = np.quantile(spread[self.item == i], 0.25, method="higher") * COMMON + ALLOWED
-        keep = spread <= limit[self.item]
-        hashes = np.repeat(self.keys, np.diff(self.first))
-        return Items.of(self.ids, self.words, (hashes[keep], self.item[keep], self.at[keep]))
-
 
 def items_of(rows: list[tuple[int, str]]) -> Items:
     w = words_of([t for _, t in rows])
@@ -99,6 +93,20 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, i
     return score, start, end
 
 
+def most(item: np.ndarray, passage: np.ndarray) -> float:
+    """No alignment scores more. With m words matched, b of them right behind another on both sides, there are m - b
+    runs with something that costs 0.5 at least between any two: m - (m - b - 1) / 2."""
+
+    def shared(own: np.ndarray, other: np.ndarray) -> int:
+        if not len(own) or not len(other):
+            return 0
+        other = np.sort(other)
+        return int((other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own).sum())
+
+    pairs = [x[:-1] * np.uint64(BASE) + x[1:] for x in (item, passage)]
+    return MATCH * shared(item, passage) - min(GAP, -OTHER) * max(0, shared(item, passage) - shared(*pairs) - 1)
+
+
 def _windows(at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Stretches of words that hold all positions of hits, with an item's length around them; long ones in overlapping pieces."""
     first = last = int(at[0])
@@ -118,16 +126,28 @@ def scan(w: Words, items: Items, least: float = LEAST_SCORE) -> Iterator[tuple[i
     if not len(at):
         return
     counts = items.first[key + 1] - items.first[key]
+    spread, owner, cuts = np.cumsum(counts), w.owner[first[at]], w.cuts()
+    a = 0
+    while a < len(at):
+        b = int(np.searchsorted(spread, spread[a] + MOST_PLACES, side="right"))
+        b = int(np.searchsorted(owner, owner[b - 1], side="right"))
+        yield from _scan(w, cuts, items, first[at[a:b]], key[a:b], counts[a:b], least)
+        a = b
+
+
+def _scan(w: Words, cuts: np.ndarray, items: Items, first: np.ndarray, key: np.ndarray, counts: np.ndarray, least: float) -> Iterator[tuple[int, int, float, int, int]]:
     place = np.repeat(items.first[key], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    spot, item = np.repeat(first[at], counts), items.item[place]
+    spot, item = np.repeat(first, counts), items.item[place]
     text = w.owner[spot]
     order = np.lexsort((spot, item, text))
     spot, item, text = spot[order], item[order], text[order]
-    cuts, groups = w.cuts(), np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (text[1:] != text[:-1])))
+    groups = np.flatnonzero(np.append(True, (item[1:] != item[:-1]) | (text[1:] != text[:-1])))
     for a, b in zip(groups.tolist(), np.append(groups[1:], len(spot)).tolist(), strict=True):
         own, best = items.words[item[a]], (0.0, 0, 0)
         for low, high in _windows(np.unique(spot[a:b]), len(own)):
             low, high = max(low, int(cuts[text[a]])), min(high, int(cuts[text[a] + 1]))
+            if most(own, w.hashes[low:high]) < max(least * len(own), best[0]):
+                continue
             score, start, end = smith_waterman(own, w.hashes[low:high])
             if score > best[0]:
                 best = score, low + start, low + end
@@ -147,27 +167,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]
 
 
-def _rare(docs: DataFrame, items: Items) -> Items:
-    """The block's seeds that are rare in ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # BLOCK_BYTES of texts
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value.keys), np.int64)
-        for _, texts in chunks(batches, "text"):
-            w = words_of(texts)
-            hashes, first = w.grams(SEED)
-            at, key = shared.value.find(hashes)
-            pairs = np.unique(w.owner[first[at]] * len(total) + key)
-            total += np.bincount(pairs % max(1, len(total)), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], names=["seed", "n"])
-
-    counts = np.zeros(len(items.keys), np.int64)
-    for r in docs.select(text_of().alias("text")).mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-        counts[r.seed] = r.n
-    return items.rare(counts)
-
-
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, start_char, end_char: each row of ``docs`` and item whose alignment scores ``LEAST_SCORE``.
 
@@ -179,7 +178,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     out = None
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_rare(docs, items_of(block)))
+        shared = docs.sparkSession.sparkContext.broadcast(items_of(block))  # BLOCK_BYTES of texts
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -197,7 +196,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a match, all their columns; nothing is shuffled."""
     for block in _blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(_rare(docs, items_of(block)))
+        shared = docs.sparkSession.sparkContext.broadcast(items_of(block))  # BLOCK_BYTES of texts
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch, own in chunks(batches, "text"):
