@@ -119,6 +119,28 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
+def lexicon(r, n, letters):
+    return ["".join(r.choice(letters) for _ in range(6)) for _ in range(n)]
+
+
+def test_quality_keeps_a_trusted_text_with_many_copies(spark):
+    r = random.Random(4)
+    words = lexicon(r, 300, "abcdefghijklmnopqrstuvwxyz")
+    rows = [(i, " ".join(r.choice(words) for _ in range(100)), "en") for i in range(400)]
+    for n in range(2):
+        rows += [(10_000 * (n + 1) + i, rows[n][1], "en") for i in range(100)]
+    rows += [(n, rows[n][1], "en") for n in range(2) for _ in range(3)]
+    junk = [(90_000 + i, "".join(r.choice("#$%&QXZ0123|") for _ in range(400)), "en") for i in range(10)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in sorted({i for i, _, _ in rows})] + [(3, 1)], "doc_id long, quality int")
+    done = quality.score(docs, labels).collect()
+    assert len(done) == len(rows) + len(junk)
+    bad = {x.doc_id for x in done if not x.keep}
+    assert not [i for i in bad if 10_000 <= i < 90_000 or i < 2] and {i for i, *_ in junk} <= bad
+    alone = {x.key: x.bits for x in quality.score(docs.where("doc_id < 10000 or doc_id >= 90000").distinct(), labels).collect()}
+    assert all(x.bits == pytest.approx(alone[x.key], rel=1e-5) for x in done)
+
+
 def test_neighbours_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAST_BYTES", 2000)
     monkeypatch.setattr(ann, "CANDIDATES", 16)

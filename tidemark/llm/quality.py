@@ -22,9 +22,9 @@ ORDER = 4
 BLOCK_CHARS = 6_000_000
 #: Stand before and behind every text (private use). Fixed values.
 BEFORE, BEHIND = "\ue000", "\ue001"
-#: One in so many trusted documents isn't trained on; thresholds are quantiles of these.
+#: One in so many distinct trusted texts isn't trained on; upper thresholds are quantiles of these.
 HELD_BACK = 5
-#: Quantiles of surprise among held-back trusted documents of a language, how much farther out the thresholds lie, and
+#: Quantiles of surprise among trusted (LOW) and held-back trusted (HIGH) texts of a language, how much farther out the thresholds lie, and
 #: how many such documents a language needs, lest all languages' thresholds hold for it.
 LOW, HIGH, FARTHER, LEAST_DOCS = 0.002, 0.995, 1.15, 30
 #: Characters beyond which a longer text's mean is not taken to be more certain.
@@ -116,15 +116,27 @@ def _packed(df: DataFrame, kind: int) -> DataFrame:
 
 
 def _unpack(group: pa.Table) -> tuple[pa.Table | None, list[str], np.ndarray]:
-    """Documents of a block, their texts, and which are trusted (by any label of their doc_id)."""
+    """Documents of a block, their texts, and which of them speak for a distinct trusted text (see _once), one row each."""
     kinds, payloads = group.column("kind").to_pylist(), group.column("payload").to_pylist()
     read = lambda kind: [pa.ipc.open_stream(p).read_all() for k, p in zip(kinds, payloads, strict=True) if k == kind]
     docs, labels = read(0), read(1)
     if not docs:
         return None, [], np.zeros(0, bool)
     docs = pa.concat_tables(docs)
-    trusted = set(pa.concat_tables(labels).column(0).to_pylist()) if labels else set()
-    return docs, docs.column("text").to_pylist(), np.array([i is not None and i in trusted for i in docs.column("doc_id").to_pylist()], bool)
+    left = {pair for t in labels for pair in zip(t.column("doc_id").to_pylist(), t.column("key").to_pylist(), strict=True)}
+    trusted = np.zeros(docs.num_rows, bool)
+    for i, pair in enumerate(zip(docs.column("doc_id").to_pylist(), docs.column("key").to_pylist(), strict=True)):
+        if pair in left:
+            left.remove(pair)
+            trusted[i] = True
+    return docs, docs.column("text").to_pylist(), trusted
+
+
+def _once(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(doc_id, key): of each distinct trusted text the smallest doc_id, lest copies teach the model that text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"))
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id"))
+    return cut(rows.join(ids, "doc_id", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "key"))
 
 
 def _blocks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -132,7 +144,7 @@ def _blocks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     block = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(max(1, math.ceil(size / BLOCK_CHARS)))).alias("__block")
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
     texts = docs.select(block, doc_id, _language().alias("lang"), _key().alias("key"), text_of().alias("text"))
-    return _packed(texts, 0).unionByName(_packed(trusted.where("doc_id is not null").select(block, doc_id), 1))
+    return _packed(texts, 0).unionByName(_packed(_once(docs, trusted).select(block, "doc_id", "key"), 1))
 
 
 def _language() -> Column:
@@ -237,11 +249,13 @@ def _for_language(rows: DataFrame, found: DataFrame, names: list[str]) -> DataFr
 def judge(scored: DataFrame) -> DataFrame:
     """``scored`` with surprise and keep. Surprise: bits beyond the language's median, times the root of the length,
     so that short texts, whose means vary more, are not judged by the measure of long ones. The lower threshold lies as
-    far out as the upper one at least: text that the model knows well is not junk for that."""
-    held = lambda rows: rows.where("held_back").unionByName(rows.where("held_back").withColumn("lang", F.lit("*")))
-    rows = _for_language(scored, _quantiles(held(scored), "bits", {"median": 0.5}), ["median"])
+    far out as the upper one at least, and counts the texts trained on too, of which the model knows more than of those
+    held back: text that the model knows well is not junk for that."""
+    held = lambda rows, flag: rows.where(flag).unionByName(rows.where(flag).withColumn("lang", F.lit("*")))
+    rows = _for_language(scored, _quantiles(held(scored, "held_back"), "bits", {"median": 0.5}), ["median"])
     rows = rows.withColumn("surprise", (F.col("bits") - F.col("median")) * F.sqrt(F.least("n", F.lit(STEADY))))
-    rows = _for_language(rows, _quantiles(held(rows), "surprise", {"low": LOW, "high": HIGH}), ["low", "high"])
+    low = _quantiles(held(rows, "trusted"), "surprise", {"low": LOW}).drop("docs")
+    rows = _for_language(rows, _quantiles(held(rows, "held_back"), "surprise", {"high": HIGH}).join(low, "lang"), ["low", "high"])
     inside = (F.col("surprise") >= F.least("low", -F.col("high")) * FARTHER) & (F.col("surprise") <= F.col("high") * FARTHER)
     return rows.withColumn("keep", F.coalesce(inside, F.lit(True)))
 
@@ -250,7 +264,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, key (hash of the text), lang, n, bits, surprise, keep.
 
     bits: bits per character, the text's end counted as one; perplexity is 2 ** bits. keep: whether surprise lies within
-    quantiles of the language's trusted documents (above: junk; below: repetition). Empty texts are
+    quantiles of the language's trusted documents (above: junk; below: repetition). However many copies a trusted text
+    has, the model and the quantiles count it once. Empty texts are
     scored on their end alone. Null text reads as empty, null lang as the language ''. Without trusted documents bits
     is null and all are kept. Repeated rows get a row each.
     """
