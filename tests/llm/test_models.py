@@ -141,6 +141,18 @@ def test_quality_keeps_a_trusted_text_with_many_copies(spark):
     assert all(x.bits == pytest.approx(alone[x.key], rel=1e-5) for x in done)
 
 
+def test_quality_keeps_languages_with_little_trusted_text(spark):
+    r = random.Random(5)
+    known, other = lexicon(r, 60, "abcdefghijklmnop"), lexicon(r, 60, "мнопрстуфхцчшщ")
+    text = lambda words: " ".join(r.choice(words) for _ in range(60))
+    rows = [(i, text(known), "en") for i in range(250)] + [(1000 + i, text(other), "ru") for i in range(60)] + [(2000 + i, text(other), "uk") for i in range(20)]
+    junk = [(90_000 + i, "".join(r.choice("#$%&QXZ0123|") for _ in range(400)), "en") for i in range(10)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(250)] + [(1000 + i, 1) for i in range(8)], "doc_id long, quality int")
+    kept = {x.doc_id for x in quality.keep_good(docs, labels).collect()}
+    assert {i for i, *_ in rows if i >= 1000} <= kept and not kept & {i for i, *_ in junk}
+
+
 def test_neighbours_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ann, "LEAST_BYTES", 2000)
     monkeypatch.setattr(ann, "CANDIDATES", 16)

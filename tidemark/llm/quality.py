@@ -25,7 +25,7 @@ BEFORE, BEHIND = "\ue000", "\ue001"
 #: One in so many distinct trusted texts isn't trained on; upper thresholds are quantiles of these.
 HELD_BACK = 5
 #: Quantiles of surprise among trusted (LOW) and held-back trusted (HIGH) texts of a language, how much farther out the thresholds lie, and
-#: how many such documents a language needs, lest all languages' thresholds hold for it.
+#: how many held-back texts a language needs to be judged; all documents of the others are kept.
 LOW, HIGH, FARTHER, LEAST_DOCS = 0.002, 0.995, 1.15, 30
 #: Characters beyond which a longer text's mean is not taken to be more certain.
 STEADY = 4000
@@ -237,13 +237,12 @@ def _quantiles(rows: DataFrame, value: str, wanted: dict[str, float]) -> DataFra
 
 
 def _for_language(rows: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
-    """``rows`` with the language's values, or those over all languages (lang '*')."""
-    own = found.where((F.col("docs") >= LEAST_DOCS) & (F.col("lang") != "*")).select("lang", *[F.col(n).alias(f"own_{n}") for n in names])
-    own, every = cut(own), found.where("lang = '*'").select(*names).first()
+    """``rows`` with the language's values, null where it has fewer than ``LEAST_DOCS`` held-back texts: another
+    language's values would say nothing of it."""
+    own = cut(found.where(F.col("docs") >= LEAST_DOCS).select("lang", *names))
     if own.count() <= MOST_LANGUAGES:  # else a join by language, in which large partitions can be split
         own = F.broadcast(own)
-    pick = {n: F.coalesce(F.col(f"own_{n}"), F.lit(every[n] if every else None).cast("double")) for n in names}
-    return rows.join(own, "lang", "left").withColumns(pick).drop(*[f"own_{n}" for n in names])
+    return rows.join(own, "lang", "left")
 
 
 def judge(scored: DataFrame) -> DataFrame:
@@ -251,13 +250,12 @@ def judge(scored: DataFrame) -> DataFrame:
     so that short texts, whose means vary more, are not judged by the measure of long ones. The lower threshold lies as
     far out as the upper one at least, and counts the texts trained on too, of which the model knows more than of those
     held back: text that the model knows well is not junk for that."""
-    held = lambda rows, flag: rows.where(flag).unionByName(rows.where(flag).withColumn("lang", F.lit("*")))
-    rows = _for_language(scored, _quantiles(held(scored, "held_back"), "bits", {"median": 0.5}), ["median"])
+    rows = _for_language(scored, _quantiles(scored.where("held_back"), "bits", {"median": 0.5}), ["median"])
     rows = rows.withColumn("surprise", (F.col("bits") - F.col("median")) * F.sqrt(F.least("n", F.lit(STEADY))))
-    low = _quantiles(held(rows, "trusted"), "surprise", {"low": LOW}).drop("docs")
-    rows = _for_language(rows, _quantiles(held(rows, "held_back"), "surprise", {"high": HIGH}).join(low, "lang"), ["low", "high"])
+    low = _quantiles(rows.where("trusted"), "surprise", {"low": LOW}).drop("docs")
+    rows = _for_language(rows, _quantiles(rows.where("held_back"), "surprise", {"high": HIGH}).join(low, "lang"), ["low", "high"])
     inside = (F.col("surprise") >= F.least("low", -F.col("high")) * FARTHER) & (F.col("surprise") <= F.col("high") * FARTHER)
-    return rows.withColumn("keep", F.coalesce(inside, F.lit(True)))
+    return rows.withColumn("keep", F.col("high").isNull() | F.coalesce(inside, F.lit(True)))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -267,7 +265,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     quantiles of the language's trusted documents (above: junk; below: repetition). However many copies a trusted text
     has, the model and the quantiles count it once. Empty texts are
     scored on their end alone. Null text reads as empty, null lang as the language ''. Without trusted documents bits
-    is null and all are kept. Repeated rows get a row each.
+    is null and all are kept. Of a language with fewer than LEAST_DOCS held-back trusted texts (about 150 trusted ones) all
+    are kept, junk too, and surprise is null. Repeated rows get a row each.
     """
     trusted = labels.where("quality = 1").select("doc_id")
     blocks = _blocks(docs, trusted)
