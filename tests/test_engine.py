@@ -54,6 +54,16 @@ def test_merged_means_are_weighted_and_nothing_is_zero(spark):
         assert a.limit(0).agg(*aggregate(how).of_rows()).select(aggregate(how).value()).first()[0] == 0.0
 
 
+def test_sums_of_small_large_and_odd_values(spark):
+    total = lambda how, *v: windowed(spark.createDataFrame([(1, "k", x) for x in v], "event_time long, key string, value double"), Tumbling(60), how).first().value
+    assert total("sum", 0.004, 0.004) == 0.008 and total("sum", 1e-6, 2e-6) == pytest.approx(3e-6, rel=1e-12)
+    assert total("mean", 0.004, 0.004) == 0.004 and total("sum", 1e-14, 1e-14) == pytest.approx(2e-14)
+    assert total("sum", 1e20, -3e15, 0.5) == pytest.approx(1e20 - 3e15) and total("sum", None, 2.5) == 2.5 and total("sum", None) == 0.0
+    assert total("sum", *[0.1] * 10) == 1.0
+    whole = spark.createDataFrame([(1, "k", 2**40), (2, "k", 1)], "event_time long, key string, value long")
+    assert windowed(whole, Tumbling(60), "sum").first().value == 2**40 + 1
+
+
 def test_panes_equal_windows(spark):
     r = random.Random(1)
     df = spark.createDataFrame([(r.randint(0, 500), r.choice("ab"), r.randint(-900, 900) / 100) for _ in range(300)], "event_time long, key string, value double")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests import model
 from tidemark.functions.windows import Sliding, Tumbling
 from tidemark.operators.aggregate import totals_by_window
-from tidemark.operators.policy import Policy, tumbling_count
+from tidemark.operators.policy import Policy, in_emission_order, tumbling_count
 from tidemark.operators.watermark import BoundedLag, PercentileLag
 from tidemark.streaming.replay import Replay
 
@@ -49,6 +49,47 @@ def test_equals_the_sequential_model(spark, seed, size, step, lag, lateness, ttl
     assert got.stats.first().asDict() == want["stats"]
 
 
+@pytest.mark.parametrize("size,step,how", [(60, 10, "sum"), (60, 25, "mean"), (60, 20, "distinct")])
+def test_panes_give_the_same_with_fewer_updates(spark, size, step, how):
+    rows = stream(spark, draw(7, 150)).withColumn("value", F.col("seq") / 100)
+    plain, panes = (Policy(Sliding(size, step), BoundedLag(10), how, 100, 60, panes=p).run(rows) for p in (False, True))
+    pick = lambda o: sorted(map(str, o.results.collect()))
+    assert pick(panes) == pick(plain)
+    a, b = plain.stats.first().asDict(), panes.stats.first().asDict()
+    assert b.pop("aggregator_updates") * (size // step) * 0.9 < a.pop("aggregator_updates") and a == b
+    with pytest.raises(ValueError, match="panes apply to sliding windows"):
+        Policy(Tumbling(60), BoundedLag(0), panes=True)
+
+
+def test_emission_order(spark):
+    rows = [(10, "b"), (20, "a"), (200, "a"), (30, "b"), (31, "b"), (500, "c"), (40, "a")]
+    done = Policy(Tumbling(60), BoundedLag(0), lateness=1000).run(stream(spark, [(t, k, i, t) for i, (t, k) in enumerate(rows)]))
+    got = [(r.seq, r.key, r.window_start, r.revision) for r in in_emission_order(done.results).orderBy("place").collect()]
+    assert got == [(3, "a", 0, False), (3, "b", 0, False), (4, "b", 0, True), (5, "b", 0, True), (6, "a", 180, False), (7, "a", 0, True), (None, "c", 480, False)]
+    assert [r.place for r in in_emission_order(done.results).orderBy("place").collect()] == list(range(1, 8))
+
+
+@pytest.mark.parametrize("how", ["count", "sum"])
+def test_a_shrinking_lag_lets_an_arrival_end_its_own_window(spark, how):
+    rows = [(100, "k", 1, 200), (130, "k", 2, 230), (170, "k", 3, 171), (172, "k", 4, 173), (110, "k", 5, 174), (300, "k", 6, 301)]
+    for lateness in (0, 60, 1000):
+        done = Policy(Sliding(60, 20), PercentileLag(0.5, 2, 1), how, lateness).run(stream(spark, rows))
+        state, fired, out, wm, delays, latest = {}, set(), [], -1, [], 0
+        for seq, (t, _, _, g) in enumerate(rows, 1):
+            delays, latest = [*delays, g - t][-2:], max(latest, t)
+            wm = max(wm, latest - max(sorted(delays)[min(int(0.5 * len(delays)), len(delays) - 1)], 1))
+            for s in model.starts(t, 60, 20):
+                if s + 60 + lateness > wm:
+                    state[s] = state.get(s, 0) + 1
+                    out += [(s, state[s], wm, True, seq)] if s in fired else []
+            for s in sorted(state):
+                if s not in fired and s + 60 <= wm:
+                    fired.add(s)
+                    out.append((s, state[s], wm, False, seq))
+        out += [(s, n, wm, False, None) for s, n in state.items() if s not in fired]
+        assert sorted(((r.window_start, int(r.value), r.watermark, r.revision, r.seq) for r in done.results.collect()), key=str) == sorted(out, key=str)
+
+
 def test_ingest_domain_never_drops(spark):
     rows = draw(5)
     want = model.policy(rows, 60, 60, 0, 0, None, "ingest")

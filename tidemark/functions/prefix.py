@@ -33,7 +33,7 @@ class Running:
         return (F.max(column) if self.kind == "max" else F.sum(column)).over(window)
 
 
-def running(df: DataFrame, bucket: str, order: list[str], wanted: dict[str, Running]) -> DataFrame:
+def running(df: DataFrame, bucket: str, order: list, wanted: dict[str, Running]) -> DataFrame:
     """``df`` with running values; one shuffle, by bucket, and one sort for all of them."""
     earlier = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     whole = df.groupBy(bucket).agg(*[r.whole().alias(f"__all_{n}") for n, r in wanted.items()])
@@ -44,7 +44,16 @@ def running(df: DataFrame, bucket: str, order: list[str], wanted: dict[str, Runn
     return done.drop(*[f"__{x}_{n}" for n in wanted for x in ("own", "before")])
 
 
-def number(df: DataFrame, bucket: str, order: list[str], name: str = "seq") -> DataFrame:
+def bucket_width(df: DataFrame, time: str, most_rows: int = 1 << 20) -> int:
+    """Seconds of ``time`` that hold about ``most_rows`` rows, or fewer so that every core has buckets to work on."""
+    got = df.agg(F.count(time).alias("n"), F.min(time).alias("low"), F.max(time).alias("high")).first()
+    if not got.n:
+        return 1
+    buckets = max(got.n // most_rows, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    return max(1, (got.high - got.low) // buckets)
+
+
+def number(df: DataFrame, bucket: str, order: list, name: str = "seq") -> DataFrame:
     """``df`` with its place in the order, from 1."""
     return running(df, bucket, order, {name: Running("count")})
 

@@ -17,7 +17,7 @@ class Tumbling:
 
     def __post_init__(self):
         if self.size <= 0:
-            raise ValueError("window size must be positive")
+            raise ValueError(f"a tumbling window needs a positive size, not {self.size}")
 
     @property
     def step(self) -> int:
@@ -41,7 +41,7 @@ class Sliding:
 
     def __post_init__(self):
         if self.size <= 0 or self.step <= 0:
-            raise ValueError("window size and step must be positive")
+            raise ValueError(f"windows of {self.size} seconds every {self.step} cannot be made")
         if self.step > self.size:
             raise ValueError(f"step {self.step} beyond size {self.size} leaves gaps between windows")
 
@@ -64,13 +64,13 @@ class Sessions:
 
     def __post_init__(self):
         if self.gap <= 0:
-            raise ValueError("session gap must be positive")
+            raise ValueError(f"sessions need a positive gap, not {self.gap}")
 
 
 def pane_width(size: int, step: int) -> int:
     """The widest pane that tiles every window of ``size`` beginning at a multiple of ``step``."""
     if size <= 0 or step <= 0:
-        raise ValueError("size and step must be positive")
+        raise ValueError(f"no pane tiles windows of {size} every {step}")
     return gcd(size, step)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aggregates import Mergeable, aggregate
+from ..functions.aggregates import SUM, Mergeable, aggregate
 from ..functions.windows import Sessions, Sliding, Tumbling, pane_width
 
 
@@ -45,4 +45,4 @@ def totals_by_window(results: DataFrame) -> DataFrame:
     ``results``: key, window_start, window_end, value, seq, revision. A revision of the same arrival order comes later.
     """
     last = results.groupBy("key", "window_start", "window_end").agg(F.max_by("value", F.struct(F.col("seq").isNull(), "seq", "revision")).alias("value"))
-    return last.groupBy("window_start", "window_end").agg(F.sum(F.col("value").cast("decimal(28,6)")).cast("double").alias("total"))
+    return last.groupBy("window_start", "window_end").agg(*SUM.of_rows()).select("window_start", "window_end", SUM.value().alias("total"))

@@ -114,11 +114,11 @@ def space_saving(arrivals: DataFrame, capacity: int, key: str = "key") -> DataFr
     return in_order.select("key").mapInPandas(run, _SKETCH)
 
 
-def mergeable_sketch(arrivals: DataFrame, capacity: int, key: str = "key", fan_in: int = 64) -> DataFrame:
+def mergeable_sketch(arrivals: DataFrame, capacity: int, key: str = "key", fan_in: int = 64, parts: int = 4096) -> DataFrame:
     """key, count, error, total: a summary of the same bounds (count - error <= true <= count) from summaries of parts.
 
-    Each task summarises its rows; summaries are merged ``fan_in`` at a time until one is left, so no task sees more than
-    ``fan_in`` times ``capacity`` counters.
+    Each task summarises its rows; summaries, of which there are ``parts`` kinds at most, are merged ``fan_in`` kinds at a
+    time until one is left. Tasks beyond ``parts`` share a kind, and those are merged first.
     """
 
     def part(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -130,17 +130,17 @@ def mergeable_sketch(arrivals: DataFrame, capacity: int, key: str = "key", fan_i
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         whole = None
-        for _, own in group.groupby("part"):
+        for _, own in group.groupby(["part", "maker"]):
             sketch = SpaceSaving.restore({"capacity": capacity, "total": int(own["total"].iloc[0]), "counters": own[["key", "count", "error"]].values.tolist()})
             whole = sketch if whole is None else whole.merge(sketch)
-        return _rows(whole).assign(part=int(group["part"].iloc[0]) // fan_in)
+        return _rows(whole).assign(part=int(group["part"].iloc[0]) // fan_in, maker=0).astype({"maker": "int32"})
 
-    parts = arrivals.rdd.getNumPartitions()
-    sketches = arrivals.select(F.col(key).cast("string").alias("key")).mapInPandas(part, _SKETCH).withColumn("part", F.spark_partition_id().cast("long"))
-    while parts > 1:
-        sketches = sketches.groupBy(F.expr(f"part div {fan_in}")).applyInPandas(merge, f"{_SKETCH}, part long")
+    sketches = arrivals.select(F.col(key).cast("string").alias("key")).mapInPandas(part, _SKETCH)
+    sketches = sketches.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts)).cast("long")).withColumn("maker", F.spark_partition_id())
+    while parts > 1:  # the number of rounds follows from ``parts`` alone, not from how the input happens to be cut
+        sketches = sketches.groupBy(F.expr(f"part div {fan_in}")).applyInPandas(merge, f"{_SKETCH}, part long, maker int")
         parts = -(-parts // fan_in)
-    return sketches.drop("part")
+    return sketches.drop("part", "maker")
 
 
 def top_of(sketch: DataFrame, k: int) -> DataFrame:

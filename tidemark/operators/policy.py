@@ -4,6 +4,8 @@ Arrivals carry their watermark. A window of a key first fires at the arrival tha
 event and at or past the first watermark beyond the window's end; everything accepted until then makes its first result,
 every accepted arrival after it a revision with the value so far. What comes when the window and its grace are over goes
 to the side output, once per window. Windows that no watermark passed are flushed at the end.
+
+Arrivals before a window's end are aggregated as they are, without order; only late ones, few by nature, are put in order.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.aggregates import Mergeable, aggregate
 from ..functions.lineage import cut
-from ..functions.prefix import running_sum
-from ..functions.windows import Sliding, Tumbling
+from ..functions.prefix import number, running_sum
+from ..functions.windows import Sliding, Tumbling, pane_width
 from .dedup import expired, mark_kept
 from .watermark import BoundedLag, PercentileLag
 
@@ -28,7 +30,8 @@ class Policy:
     """Windows, watermark, grace and deduplication of one aggregation.
 
     domain: ``event`` assigns windows by event time, ``ingest`` by time of arrival; the watermark follows event time
-    in both. All results are DataFrames made from one input, :meth:`run`.
+    in both. panes: an arrival updates one pane, the widest that tile all windows, instead of every window that holds it;
+    results are the same. All results are DataFrames made from one input, :meth:`run`.
     """
 
     windows: Tumbling | Sliding
@@ -37,8 +40,11 @@ class Policy:
     lateness: int = 0
     dedup_ttl: int | None = None
     domain: str = "event"
+    panes: bool = False
 
     def __post_init__(self):
+        if self.panes and not isinstance(self.windows, Sliding):
+            raise ValueError("panes apply to sliding windows")
         if self.domain not in ("event", "ingest"):
             raise ValueError(f"the time domain is 'event' or 'ingest', not {self.domain!r}")
         if self.lateness < 0:
@@ -65,15 +71,16 @@ def crossings(steps: DataFrame, ends: DataFrame, step: int) -> DataFrame:
     Watermarks and ends are cut into cells; an end looks for its arrival in its own cell and, failing that, takes the
     first arrival of the next cell that has one.
     """
-    cell = step * 64
+    cell = step * 16
     steps = steps.groupBy("wm").agg(F.min("seq").alias("seq")).select("wm", "seq", F.expr(f"wm div {cell}").alias("cell"))
     wanted = ends.distinct().withColumn("cell", F.expr(f"end div {cell}"))
     none = F.lit(None).cast("long")
     both = steps.select("cell", F.col("wm").alias("at"), "seq", F.lit(1).alias("kind"), "wm").unionByName(wanted.select("cell", F.col("end").alias("at"), none.alias("seq"), F.lit(0).alias("kind"), none.alias("wm")))
-    ahead = Window.partitionBy("cell").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the last to the first, so that each frame grows by a row: linear
+    ahead = Window.partitionBy("cell").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     move = F.when(F.col("kind") == 1, F.struct("seq", "wm"))
-    found = both.withColumn("next", F.first(move, ignorenulls=True).over(ahead)).where("kind = 0")
-    later = Window.orderBy("cell").rowsBetween(1, Window.unboundedFollowing)  # one row per cell
+    found = both.withColumn("next", F.last(move, ignorenulls=True).over(ahead)).where("kind = 0")
+    later = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # one row per cell
     beyond = both.groupBy("cell").agg(F.min(move).alias("own")).select("cell", F.min("own").over(later).alias("beyond"))
     hit = found.join(beyond, "cell").select(F.col("at").alias("end"), F.coalesce("next", "beyond").alias("hit"))
     return hit.select("end", F.col("hit.seq").alias("cross_seq"), F.col("hit.wm").alias("cross_wm"))
@@ -98,13 +105,23 @@ class Outcome:
         steps = self.marked.where("kept AND (wm > wm_before OR seq = 1)").select("wm", "seq")
         return crossings(steps, self.accepted.select(F.expr(ends).alias("end")), self.policy.windows.step)
 
-    def _fired(self) -> DataFrame:
-        """Accepted rows with fire_seq and fire_wm of their key and window (null: flushed at the end)."""
-        own = Window.partitionBy("key", "window_start")
-        rows = self.accepted.join(self._crossings("window_end").withColumnRenamed("end", "window_end"), "window_end", "left")
-        rows = rows.withColumn("__first", F.min(F.struct("seq", "wm")).over(own))
-        first = F.col("__first.seq") >= F.col("cross_seq")
-        return rows.withColumn("fire_seq", F.when(first, F.col("__first.seq")).otherwise(F.col("cross_seq"))).withColumn("fire_wm", F.when(first, F.col("__first.wm")).otherwise(F.col("cross_wm"))).drop("__first")
+    def _on_time(self, late: DataFrame) -> DataFrame:
+        """key, window_start, window_end, parts and events of what is there when the watermark first passes the window."""
+        agg, p, n = aggregate(self.policy.how), self.policy, F.count(F.lit(1)).alias("events")
+        by = ["key", "window_start", "window_end"]
+        # where the lag shrinks, the arrival that moves the watermark past a window may itself belong to it
+        moving = late.where("seq = cross_seq").groupBy(*by).agg(*agg.of_rows(), n)
+        if not p.panes:
+            early = self.placed.where("NOT late").groupBy(*by).agg(*agg.of_rows(), n)
+        else:  # a pane per width and first window that was open then
+            pane, time = pane_width(p.windows.size, p.windows.step), F.col("event_time" if p.domain == "event" else "ingest_time")
+            opened = F.filter(p.windows.starts(time), lambda s: s + p.windows.size > F.col("wm"))
+            rows = self.marked.where("kept").withColumn("opened", opened).where(F.size("opened") > 0)
+            panes = rows.groupBy("key", (F.floor(time / pane) * pane).cast("long").alias("pane"), F.get("opened", F.lit(0)).alias("from")).agg(*agg.of_rows(), n)
+            starts = F.filter(p.windows.starts(F.col("pane")), lambda s: (s >= F.col("from")) & (F.col("pane") + pane <= s + p.windows.size))
+            parts = panes.withColumn("window_start", F.explode(starts)).withColumn("window_end", F.col("window_start") + p.windows.size)
+            early = parts.groupBy(*by).agg(*agg.of_parts(), F.sum("events").alias("events"))
+        return early.unionByName(moving).groupBy(*by).agg(*agg.of_parts(), F.sum("events").alias("events"))
 
     @property
     def final_watermark(self) -> DataFrame:
@@ -112,29 +129,31 @@ class Outcome:
 
     @property
     def results(self) -> DataFrame:
-        """First results, revisions and what is flushed at the end (seq null), in no order; sort by seq (null last), then
-        revision (descending), window_start, key to replay them."""
-        agg, rows = aggregate(self.policy.how), self._fired()
-        on_time = F.col("fire_seq").isNull() | (F.col("seq") <= F.col("fire_seq"))
-        groups = rows.groupBy("key", "window_start", "window_end", "fire_seq", "fire_wm").agg(*agg.of_rows(on_time), F.count(F.when(on_time, F.lit(1))).alias("events"))
-        fires = groups.join(F.broadcast(self.final_watermark)).select(  # one row
-            "key", "window_start", "window_end", agg.value().alias("value"), "events", F.coalesce("fire_wm", "final_wm").alias("watermark"), F.lit(False).alias("revision"), F.col("fire_seq").alias("seq")
-        )
-        so_far = Window.partitionBy("key", "window_start").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        again = rows.withColumn("result", agg.running(so_far)).withColumn("events", F.count(F.lit(1)).over(so_far)).where(F.col("seq") > F.col("fire_seq"))
-        revisions = again.select("key", "window_start", "window_end", F.col("result").alias("value"), "events", F.col("wm").alias("watermark"), F.lit(True).alias("revision"), "seq")
-        return fires.unionByName(revisions)
+        """First results, revisions and what is flushed at the end (seq null), in no order (see :func:`in_emission_order`)."""
+        agg, by = aggregate(self.policy.how), ["key", "window_start", "window_end"]
+        crossed = self._crossings("window_end").withColumnRenamed("end", "window_end")
+        late = self.accepted.where("late").join(crossed, "window_end")
+        groups = self._on_time(late).join(crossed, "window_end", "left").join(F.broadcast(self.final_watermark))  # one row
+        firsts = groups.select(*by, F.col("cross_seq").alias("seq"), F.coalesce("cross_wm", "final_wm").alias("watermark"), *[f"part_{n}" for n in agg.parts], "events")
+        own = Window.partitionBy(*by).orderBy("seq")
+        after = late.where("seq > cross_seq").withColumns(agg.of_each(own.rowsBetween(0, 0)))
+        after = after.select(*by, "seq", F.col("wm").alias("watermark"), *[f"part_{n}" for n in agg.parts], F.lit(1).cast("long").alias("events"))
+        # the first of a window's rows is its first result; a window without arrivals on time fires at its first late one
+        so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = firsts.unionByName(after).withColumns({"value": agg.running(so_far), "n": F.sum("events").over(so_far), "place": F.row_number().over(own)})
+        return run.select(*by, "value", F.col("n").alias("events"), "watermark", (F.col("place") > 1).alias("revision"), "seq")
 
     @property
     def stats(self) -> DataFrame:
         """One row of counters."""
         p = self.policy
         arrivals = self.marked.agg(F.count(F.when(F.col("kept"), 1)).alias("processed"), F.count(F.when(~F.col("kept"), 1)).alias("duplicates_dropped"))
+        # with panes, an arrival that any window accepts updates one pane
+        updates = F.countDistinct(F.when(~F.col("too_late"), F.col("seq"))) if p.panes else F.count(F.when(~F.col("too_late"), 1))
         places = self.placed.agg(
-            F.count(F.when(F.col("late") & ~F.col("too_late"), 1)).alias("late_but_accepted"), F.count(F.when(F.col("too_late"), 1)).alias("dropped_too_late"), F.count(F.when(~F.col("too_late"), 1)).alias("aggregator_updates")
+            F.count(F.when(F.col("late") & ~F.col("too_late"), 1)).alias("late_but_accepted"), F.count(F.when(F.col("too_late"), 1)).alias("dropped_too_late"), updates.alias("aggregator_updates")
         )
-        rows = self._fired()
-        emitted = rows.agg(F.countDistinct("key", "window_start").alias("windows_fired"), F.count(F.when(F.col("seq") > F.col("fire_seq"), 1)).alias("revisions"))
+        emitted = self.results.agg(F.count(F.when(~F.col("revision"), 1)).alias("windows_fired"), F.count(F.when(F.col("revision"), 1)).alias("revisions"))
         out = arrivals
         for part in (places, emitted, expired(self.marked, p.dedup_ttl), self._peak()):
             out = out.join(F.broadcast(part))  # one row each
@@ -150,6 +169,13 @@ class Outcome:
         return run.agg(F.coalesce(F.max("held"), F.lit(0)).cast("long").alias("peak_state_entries"))
 
 
+def in_emission_order(results: DataFrame) -> DataFrame:
+    """``results`` numbered from 1 (place) as they come out: by arrival; of one arrival revisions before first results, by
+    window, then key; what is flushed at the end comes last."""
+    bucket = F.coalesce(F.expr("seq div 65536"), F.lit((1 << 62)))
+    return number(results.withColumn("bucket", bucket), "bucket", [F.asc_nulls_last("seq"), F.desc("revision"), "window_start", "window_end", "key"], "place").drop("bucket")
+
+
 def tumbling_count(size: int, lag: int, **more) -> Policy:
     """Counts in tumbling windows under a fixed lag."""
     return Policy(Tumbling(size), BoundedLag(lag), "count", **more)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import Running, running, running_max
@@ -35,8 +37,8 @@ class BoundedLag:
 class PercentileLag:
     """The latest event time so far, less a quantile of the last delays, never going back.
 
-    The delays of the last ``window`` arrivals are sorted per arrival, within buckets that bring the ``window`` - 1
-    arrivals before them along; so the order is cut into tasks here too.
+    The delays of the last ``window`` arrivals are kept sorted along parts of ``rows_per_task`` arrivals, each of which
+    brings the ``window`` - 1 arrivals before it along; so the order is cut into tasks here too.
     """
 
     percentile: float = 0.99
@@ -57,11 +59,21 @@ class PercentileLag:
         part = F.expr(f"(seq - 1) div {size}")
         follows = F.expr(f"(seq + {self.window - 1} - 1) div {size}")
         spread = delayed.withColumn("__part", F.explode(F.array_distinct(F.array(part, follows)))).withColumn("__own", F.col("__part") == part)
-        last = Window.partitionBy("__part").orderBy("seq").rowsBetween(-(self.window - 1), 0)
-        n = F.size("__delays")
-        index = F.least((F.lit(self.percentile) * n).cast("int"), n - 1)
-        lagged = spread.withColumn("__delays", F.sort_array(F.collect_list("__delay").over(last))).where("__own")
-        lagged = lagged.withColumn("estimated_lag", F.greatest(F.get("__delays", index), F.lit(self.minimum_lag)).cast("long")).drop("__delays", "__delay", "__part", "__own")
+        percentile, most, least = self.percentile, self.window, self.minimum_lag
+
+        def estimate(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by("seq")
+            held, found = [], []
+            delays = rows.column("__delay").to_pylist()
+            for i, d in enumerate(delays):  # one delay comes, one goes: the rest stays sorted
+                bisect.insort(held, d)
+                if i >= most:
+                    del held[bisect.bisect_left(held, delays[i - most])]
+                found.append(max(held[min(int(percentile * len(held)), len(held) - 1)], least))
+            return rows.append_column("estimated_lag", pa.array(found, pa.int64())).filter(rows.column("__own")).select([*names, "estimated_lag"])
+
+        names = arrivals.columns
+        lagged = spread.groupBy("__part").applyInArrow(estimate, arrivals.withColumn("estimated_lag", F.lit(0).cast("long")).schema)
         if "latest" not in lagged.columns:
             lagged = running_max(lagged, "bucket", "seq", "event_time", "latest")
         timed = lagged.withColumn("__at", F.col("latest") - F.col("estimated_lag"))

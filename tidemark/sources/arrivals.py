@@ -10,16 +10,16 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.prefix import Running, running
+from ..functions.aggregates import SUM
+from ..functions.prefix import Running, bucket_width, running
 from .tables import table
 
-#: Seconds of arrival that one task numbers.
-BUCKET = 6 * 3600
 
-
-def in_order(rows: DataFrame, bucket_seconds: int = BUCKET) -> DataFrame:
+def in_order(rows: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """``rows`` numbered by ingest_time, event_id, is_retry (seq), with the latest event time up to and before each
-    (latest, latest_before), which watermarks are made of. Time buckets are numbered apart; no task holds all rows."""
+    (latest, latest_before), which watermarks are made of. Time buckets are numbered apart, about a million rows each
+    unless their seconds are named; no task holds all rows."""
+    bucket_seconds = bucket_seconds or bucket_width(rows, "ingest_time")
     order = ["ingest_time", "event_id", "is_retry"]
     wanted = {"seq": Running("count"), "latest": Running("max", "event_time"), "latest_before": Running("max", "event_time", inclusive=False)}
     return running(rows.withColumn("bucket", F.expr(f"ingest_time div {bucket_seconds}")), "bucket", order, wanted)
@@ -119,7 +119,7 @@ def true_total(stream: DataFrame, key: str | None = None) -> DataFrame:
     """(total): the sum of value over unique events, of one key if named."""
     rows = unique_events(stream)
     rows = rows if key is None else rows.where(F.col("key") == key)
-    return rows.agg(F.coalesce(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), F.lit(0.0)).alias("total"))
+    return rows.agg(*SUM.of_rows()).select(SUM.value().alias("total"))
 
 
 def summary(stream: DataFrame) -> DataFrame:

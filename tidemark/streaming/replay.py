@@ -13,12 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.aggregates import aggregate
-from ..functions.prefix import Running, running
+from ..functions.prefix import Running, bucket_width, running
 from ..operators.policy import Policy, crossings
 from ..operators.watermark import NONE, BoundedLag
 
-BUCKET = 3600
-
 
 @dataclass
 class Replay:
@@ -65,7 +63,7 @@ class Replay:
         floor = NONE if latest is None else max(NONE, latest - p.watermark.lag)
         rows = batch.select("event_id", "event_time", "key", "value", "ingest_time", "is_retry")
         wanted = {"place": Running("count"), "seen": Running("max", "event_time"), "seen_before": Running("max", "event_time", inclusive=False)}
-        rows = running(rows.withColumn("bucket", F.expr(f"ingest_time div {BUCKET}")), "bucket", ["ingest_time", "event_id", "is_retry"], wanted).withColumn("seq", F.col("place") + count)
+        rows = running(rows.withColumn("bucket", F.expr(f"ingest_time div {bucket_width(rows, 'ingest_time')}")), "bucket", ["ingest_time", "event_id", "is_retry"], wanted).withColumn("seq", F.col("place") + count)
         wm = lambda c: F.greatest(F.lit(floor).cast("long"), F.col(c) - p.watermark.lag)
         rows = rows.withColumn("wm", wm("seen")).withColumn("wm_before", F.coalesce(wm("seen_before"), F.lit(floor).cast("long"))).persist()
         now = rows.agg(F.max("seen").alias("latest"), F.count(F.lit(1)).alias("n")).first()
@@ -85,7 +83,7 @@ class Replay:
         side.write.mode("overwrite").parquet(self._path("side", batch_id))
 
         single = Window.partitionBy("seq", "window_start").orderBy("seq").rowsBetween(0, 0)
-        fresh = placed.where("NOT too_late").select("key", "window_start", "window_end", "seq", "wm", F.lit(False).alias("fired"), F.lit(1).cast("long").alias("events"), *[c.over(single).alias(f"part_{n}") for n, c in ((n, make(F.lit(True))) for n, make in agg.parts.items())])
+        fresh = placed.where("NOT too_late").select("key", "window_start", "window_end", "seq", "wm", F.lit(False).alias("fired"), F.lit(1).cast("long").alias("events"), *[c.alias(n) for n, c in agg.of_each(single).items()])
         held = self._open(last, fresh)
         both = held.unionByName(fresh)
         steps = kept.select("wm", "seq").groupBy("wm").agg(F.min("seq").alias("seq"))
@@ -97,7 +95,7 @@ class Replay:
         waits = ~F.col("old") & (F.col("first.seq") > F.col("cross_seq"))
         both = both.withColumn("fire_seq", F.when(F.col("done"), F.lit(-1)).when(waits & F.col("cross_seq").isNotNull(), F.col("first.seq")).otherwise(F.col("cross_seq")))
         both = both.withColumn("fire_wm", F.when(waits, F.col("first.wm")).otherwise(F.col("cross_wm")))
-        both = both.withColumns({f"run_{n}": make(F.col(f"part_{n}")).over(so_far) for n, make in agg.merge.items()}).withColumn("run_events", F.sum("events").over(so_far)).persist()
+        both = both.withColumns({f"run_{n}": agg.merged(n, so_far) for n in agg.merge}).withColumn("run_events", F.sum("events").over(so_far)).persist()
 
         fires = both.where("NOT done AND fire_seq IS NOT NULL AND seq <= fire_seq").groupBy("key", "window_start", "window_end", "fire_seq", "fire_wm").agg(*agg.of_parts(), F.sum("events").alias("events"))
         fires = fires.select("key", "window_start", "window_end", agg.value().alias("value"), "events", F.col("fire_wm").alias("watermark"), F.lit(False).alias("revision"), F.col("fire_seq").alias("seq"))
