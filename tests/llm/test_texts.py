@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidemark.llm import bpe, chat, decontamination, neardup, sharding
 from tidemark.llm.common import cut
@@ -49,20 +51,58 @@ def test_chat_states(spark):
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_sharding_moves_rows_into_the_new_shard_alone(spark):
-    df = spark.createDataFrame([(i, "t") for i in range(3000)] + [(None, None), (7, "t"), (7, "t")], "doc_id long, text string")
-    heavier = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in sharding.tree(16)]
-    rows = sharding.assign(df, df.doc_id, {"a": sharding.tree(16), "b": sharding.tree(17), "c": heavier}).collect()
-    assert all(r.b in (r.a, 16) and r.c in (r.a, 5) for r in rows)
+def descend(key, leaves):
+    """The tree walked in plain Python."""
+    path = "null" if key is None else f"={key}"
+    for level in ("region", "rack", "shard"):
+        kids = collections.defaultdict(float)
+        for x in leaves:
+            kids[getattr(x, level)] += x.weight
+        draw = lambda n: -math.log(((xxhash.xxh64_intdigest(f"{path}/{n}".encode(), 42) >> 11) + 1) / 2**53) / kids[n]  # noqa: B023, E731
+        own = min(kids, key=lambda n: (draw(n), n))
+        leaves, path = [x for x in leaves if getattr(x, level) == own], f"{path}/{own}"
+    return own
+
+
+def test_sharding_equals_a_walk_and_confines_movement(spark):
+    df = spark.createDataFrame([(i, "t", i) for i in range(3000)] + [(None, None, 0), (7, "t", 0), (7, "t", 0)], "doc_id long, path string, node long")
+    base = sharding.tree(16)
+    heavier = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in base]
+    lighter = [sharding.Leaf(x.region, x.rack, x.shard, 0.0 if x.shard == 5 else 1.0) for x in base]
+    trees = {"a": base, "b": sharding.tree(17), "c": heavier, "d": lighter, "e": sharding.grown(sharding.tree(5)), "f": sharding.tree(5)}
+    done = sharding.assign(df, df.doc_id, trees)
+    assert done.columns == [*df.columns, *trees]
+    rows = done.collect()
+    for r in rows[:300] + rows[-3:]:
+        assert all(r[n] == descend(r.doc_id, [x for x in leaves if x.weight]) for n, leaves in trees.items())
+    assert sharding.tree(17) == sharding.grown(base)
+    assert all(r.b in (r.a, 16) and r.e in (r.f, 5) for r in rows)
+    at = {x.shard: (x.region, x.rack) for x in base}
+    for r in rows:
+        if r.c != r.a:  # into the subtree that gained: its region from elsewhere, its rack within the region, the shard within the rack
+            assert at[r.c][0] == at[5][0]
+            assert at[r.a][0] != at[5][0] or at[r.c] == at[5]
+            assert at[r.a] != at[5] or r.c == 5
+        if r.d != r.a:  # out of the subtree that lost
+            assert at[r.a][0] == at[5][0]
+            assert at[r.d][0] != at[5][0] or at[r.a] == at[5]
+            assert at[r.d] != at[5] or r.a == 5
+    assert not any(r.d == 5 for r in rows)
     counts = collections.Counter(r.a for r in rows)
     assert set(counts) == set(range(16)) and max(counts.values()) < 2 * min(counts.values())
     assert 100 < sum(r.b == 16 for r in rows) < 260 and 2.3 < sum(r.c == 5 for r in rows) / counts[5] < 3.4
     assert len({r.a for r in rows if r.doc_id == 7}) == 1
+    # not what a flat choice among all shards gives
+    flat = lambda key: min(range(16), key=lambda n: xxhash.xxh64_intdigest(f"={key}/{n}".encode(), 42))
+    assert sum(r.a == flat(r.doc_id) for r in rows) < 0.3 * len(rows)
+    assert sharding.assign(df.limit(0), df.doc_id, {"a": base}).count() == 0
+    with pytest.raises(ValueError, match="weight"):
+        sharding.assign(df, df.doc_id, {"a": [sharding.Leaf(0, 0, 0, 0.0)]})
 
 
 def test_slots_have_no_gaps(spark):
     rows = [(i % 5 if i < 40 else 4, i // 2) for i in range(100)]
-    df = cut(spark.createDataFrame(rows * 9, "shard int, doc_id long").repartition(7))
+    df = cut(spark.createDataFrame([(*x, 0) for x in rows * 9], "shard int, doc_id long, place int").repartition(7))
     got = collections.defaultdict(list)
     for r in sharding.slots(df, "shard", 900, 5, run_rows=30).collect():
         got[r.shard].append(r.slot)
@@ -215,7 +255,9 @@ def test_signatures_agree_like_weighted_similarity():
 
 
 def test_size_and_checksum(spark, tmp_path):
-    rows = [(1, "añb"), (2, None), (3, "")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(1, "añb"), (2, None), (3, ""), (4, "ü" * 3_000_000)]
+    spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, shard long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in sharding.op2_shards(spark, str(tmp_path)).collect()}
-    assert [(got[i].size, got[i].text_crc32) for i in (1, 2, 3)] == [(len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in rows]
+    assert [(got[i].size, got[i].text_crc32) for i in (1, 2, 3, 4)] == [(len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in rows]
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert sharding.op2_shards(spark, f"{tmp_path}/none").count() == 0

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one of our own only where the session names none."""
+    """The folder that the driver and all executors share. Only a session on one machine that names none gets one of its
+    own; on a cluster a folder of the driver's would not be seen by executors."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if named:
@@ -27,10 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate files, wherever it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with underscores behind it where it is taken (case does not count)."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Whether a query's shuffle files go as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
