@@ -5,6 +5,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import uuid
 
 import numpy as np
@@ -244,3 +245,87 @@ def test_wrappers_merge_into_optional_and_repeated_items():
     ul, p = html.json.loads(html.merge(trees))[2]
     assert ul[0] == "ul" and ul[2][0][:2] == ["li", "+"] and p[:2] == ["p", "?"]
     assert html.fold([["a", "", []], ["b", "", []]] * 3) == [["()", "+", [["a", "", []], ["b", "", []]]]]
+
+
+def read_host(pages):
+    """What extract_pages does for one host, in plain Python and without Spark; the wrapper and its decisions."""
+    trees = [html.tree(p) for p in pages]
+    form = html.merge(sorted({html.json.dumps(html.skeleton(t), ensure_ascii=False) for t in trees}))
+    stats = {}
+    for t in trees:
+        for number, x in html.measure(t, html.Wrapper(form)).items():
+            y = stats.setdefault(number, [0] * 5 + x[5:])
+            stats[number] = [*(a + b for a, b in zip(x[:5], y[:5], strict=True)), min(x[5], y[5]), max(x[6], y[6])]
+    return form, html.decide(form, stats)
+
+
+NEUTRAL = """<body><div class="k1"><span>Start {a}</span> <a href=/x>{b}</a></div><div class="k2">{c} day in {b}.</div><div class="k3"><div class="k4"><p>Written with care for readers like you.</p>
+<h1>{t}</h1>{ps}<div class="k5">Send us your own story about this, we read every letter that comes.</div></div></div><div class="k6">{a} and {c} and {b}</div></body>"""
+
+
+def neutral_pages(r, n):
+    word = lambda k: " ".join(r.choice(["stone", "water", "green", "garden", "morning", "letter", "window", "silver"]) for _ in range(k))
+    made, want = [], []
+    for _ in range(n):
+        title, ps = word(4), [word(r.randint(3, 40)) for _ in range(r.randint(1, 6))]
+        made.append(NEUTRAL.format(a=word(1), b=word(1), c=word(6), t=title, ps="".join(f"<p>{x}</p>" for x in ps)))
+        want.append("\n".join([title, *ps]))
+    return made, want
+
+
+def test_the_wrapper_decides_where_names_say_nothing(spark):
+    pages, want = neutral_pages(random.Random(8), 40)
+    wrapper = html.Wrapper(*read_host(pages))
+    got = [html.extract(p, wrapper) for p in pages]
+    # the line that never differs is template, as is the box after the text; what varies outside is no article
+    assert [g.replace("Written with care for readers like you.\n", "") for g in got] == want
+    empty = [html.extract(p, html.Wrapper('["","",[]]')) for p in pages]
+    assert sum(a != b for a, b in zip(got, empty, strict=True)) > 30
+    undecided = [html.extract(p, html.Wrapper(read_host(pages)[0])) for p in pages]
+    assert sum(a != b for a, b in zip(got, undecided, strict=True)) > 30
+    df = spark.createDataFrame([(i, "http://n.example.com/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    assert [x.text for x in html.extract_pages(df).orderBy("page_id").collect()] == got
+
+
+def test_what_is_shared_by_few_pages_or_repeats_stays_text():
+    pages, want = neutral_pages(random.Random(9), 8)  # too few to tell template from text
+    wrapper = html.Wrapper(*read_host(pages))
+    assert all(f"{t}" in html.extract(p, wrapper) and "Send us" in html.extract(p, wrapper) for p, t in zip(pages, [w.split("\n")[0] for w in want], strict=True))
+    copies = [page(1)] * 30
+    assert html.extract(copies[0], html.Wrapper(*read_host(copies))) == "Title 1\nBold & text 1\nSecond paragraph, with a link é."
+
+
+def test_wrappers_do_not_depend_on_how_they_are_spread(spark, monkeypatch):
+    pages, _ = neutral_pages(random.Random(10), 30)
+    rows = [(i, f"http://h{i % 3}.example.com/", p) for i, p in enumerate([*pages, *(page(i, rest="<p>More of it here.</p>" * (i % 3)) for i in range(30))])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {x.page_id: x.text for x in html.extract_pages(df).collect()}
+    monkeypatch.setattr(html, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(html, "ROUND", 2)
+    joined = {x.page_id: x.text for x in html.extract_pages(df.repartition(5)).collect()}
+    assert whole == joined
+
+
+@pytest.mark.parametrize("text", ["<div>" * 100_000, "<div>" * 3000 + "<p>end" + "</div>" * 3000, "<a " * 350_000, "<a " * 350_000 + ">", '<a " >"' * 100_000 + '"', "<" * 1_000_000, "<!--" * 200_000, "<p>x" * 50_000, "<script>" * 50_000, "&" * 500_000])
+def test_bad_pages_end_soon(text):
+    start = time.perf_counter()
+    top = html.tree(text)
+    form = html.merge([html.json.dumps(html.skeleton(top))])
+    wrapper = html.Wrapper(form, html.decide(form, html.measure(top, html.Wrapper(form))))
+    out = html.extract(text, wrapper)
+    assert time.perf_counter() - start < 20 and ("end" not in text[-30_000:] or "<p>end" not in text or out == "end")
+
+
+def test_alignment_of_long_lists():
+    r = random.Random(12)
+    for n in (30, 900):
+        a = [f"k{r.randrange(n)}" for _ in range(n)]
+        b = [x for x in a if r.random() < 0.8] + ["z"]
+        pairs = html._common(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+        assert len(pairs) > 0.5 * len(b)
+    assert len(html._common(list("abcde") * 2, list("xbcdy") * 2)) == 6
+    names = [f"n{i}" for i in range(20_000)]
+    assert len(html._common(["x", *names], [*reversed(names[:5]), *names])) == len(names)
+    items = [[f"div c{a}{b}", "", []] for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"] * 10
+    assert html.json.loads(html.merge([html.json.dumps(["", "", items])]))[2] and len(html.Wrapper(html.merge([html.json.dumps(["", "", items])])).places) <= html.MOST_ITEMS
