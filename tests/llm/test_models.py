@@ -174,10 +174,33 @@ def test_neighbours_equal_brute_force(spark, monkeypatch):
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pairs", [1 << 20, 5])
+def test_neighbours_of_extreme_and_equal_vectors(spark, monkeypatch, pairs):
+    monkeypatch.setattr(ann, "PAIRS", pairs)
+    monkeypatch.setattr(ann, "LEAST_BYTES", 50)
+    huge = [(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [-1e200, 5.0]), (3, [1e-310, 0.0]), (4, [1.0, 2.0]), (5, [1e160, -1e160]), (6, [3e-320, 1e-322])]
+    same = [(10 + i % 40, [0.5, 0.25]) for i in range(120)]
+    rows = huge + same + [(20, [0.5, 0.25, 1.0]), (60, [0.5, 0.25, 2.0])]
+    df = spark.createDataFrame([(*v, 0, "s") for v in rows], "vec_id long, embedding array<double>, row int, same string")
+    got = collections.defaultdict(list)
+    for x in ann.search(df, df.where("vec_id % 2 = 0"), 4).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.score, x.vec_id))
+
+    def far(a, b):
+        total = 0.0
+        for x, y in zip(a, b, strict=True):
+            total += (x - y) * (x - y)
+        return math.sqrt(total)
+
+    for query in {i for i, _ in rows if i % 2 == 0}:
+        best = [sorted((far(q, v), i) for i, v in rows if i != query and len(v) == len(q)) for q in {tuple(v) for i, v in rows if i == query}]
+        assert got[query] == sorted(x for b in best for x in b)[:4]
+
+
 def test_bounds_hold_the_distance():
     r = np.random.default_rng(6)
     a, b = r.normal(size=(30, 64)), r.normal(size=(50, 64)) * 3
-    low, high = ann.bounds(ann.Quantised(a), ann.Quantised(b))
+    low, high = ann.bounds(ann.Quantised.of(a), ann.Quantised.of(b))
     true = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
     assert (low <= true).all() and (true <= high).all() and (high - low).max() < 1
 

@@ -1,21 +1,27 @@
-"""Nearest neighbours by a block matrix join: int8 product tiles bound distances, survivors are recomputed exactly."""
+"""Nearest neighbours by a block matrix join: int8 product tiles bound distances, survivors are recomputed exactly.
+
+What is dealt out are int8 codes with a step and bounds on the error per vector, an eighth of the vectors' bytes. A group of
+candidate tiles meets every tile of queries; pairs whose lower bound lies beyond the k-th upper bound go. The vectors of the
+pairs that are left are fetched, their distances computed in double precision, and merged by bounded heaps.
+"""
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Vectors of one tile; bytes of original vectors in one group of candidate tiles, at most about, and the least bytes for
-#: which a group of its own is made until there are FEW_GROUPS (each group gets all queries once, so groups are large
-#: where vectors are many).
-CANDIDATES, QUERIES, GROUP_BYTES, LEAST_BYTES, FEW_GROUPS = 2048, 512, 64_000_000, 500_000, 32
+#: Vectors of one tile; bytes of codes in one group of candidate tiles, at most about, and the least bytes for which a group
+#: of its own is made until there are FEW_GROUPS (each group gets all queries once, so groups are large where vectors are
+#: many); pairs that one query tile holds before they are thinned out.
+CANDIDATES, QUERIES, GROUP_BYTES, LEAST_BYTES, FEW_GROUPS, PAIRS = 2048, 512, 32_000_000, 64_000, 32, 1 << 20
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -26,35 +32,43 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col(vector).isNotNull() & fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.size(vector).alias("dims"), v.alias("v"))
 
 
-def _tiles(rows: DataFrame, most: int) -> DataFrame:
-    """(dims, part, tile, ids, data): vectors of equal length, up to ``most`` to a row, as bytes of doubles."""
+_TILE = "dims int, part int, kind int, rows binary, ids binary, same binary, codes binary, step binary, error binary, square binary"
+
+
+def _tiles(rows: DataFrame, most: int, kind: int) -> DataFrame:
+    """Vectors of equal length, up to ``most`` to a row, as codes; rows, ids and hashes of vectors along with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile = 0
         for batch in batches:
-            dims, part, ids, flat = batch.column(1).to_numpy(), batch.column(3).to_numpy(), batch.column(0).to_numpy(), batch.column(2)
-            data, begin = flat.flatten().to_numpy(), np.append(0, np.cumsum(dims))
+            number, ids, same, dims, part = (batch.column(i).to_numpy() for i in range(5))
+            flat = batch.column(5).flatten().to_numpy()
+            begin = np.append(0, np.cumsum(dims))
             for d, p in sorted(set(zip(dims.tolist(), part.tolist(), strict=True))):
                 at = np.flatnonzero((dims == d) & (part == p))
                 for i in range(0, len(at), most):
                     own = at[i : i + most]
-                    block = data[begin[own][:, None] + np.arange(d)]
-                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([p], pa.int32()), pa.array([tile], pa.int64()), pa.array([ids[own].tobytes()]), pa.array([block.tobytes()])], names=["dims", "part", "tile", "ids", "data"])
-                    tile += 1
+                    q = Quantised.of(flat[begin[own][:, None] + np.arange(d)])
+                    data = [number[own], ids[own], same[own], q.codes, q.step, q.error, q.square]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()) for x in (d, p, kind)] + [pa.array([x.tobytes()], pa.binary()) for x in data], names=[c.split()[0] for c in _TILE.split(", ")])
 
-    return rows.select("vec_id", "dims", "v", "part").mapInArrow(run, "dims int, part int, tile long, ids binary, data binary")
+    return rows.select("row", "vec_id", "same", "dims", "part", "v").mapInArrow(run, _TILE)
 
 
 class Quantised:
     """Vectors as int8 multiples of a step per vector, with bounds on what that leaves out."""
 
-    def __init__(self, x: np.ndarray):
-        self.step = np.abs(x).max(1) / 127.0
-        self.step[self.step == 0] = 1.0
-        self.codes = np.rint(x / self.step[:, None]).astype(np.int8)
-        rest = x - self.codes * self.step[:, None]
-        self.error = np.sqrt((rest * rest).sum(1)) * (1 + 1e-9) + 1e-300
-        self.square = (self.codes.astype(np.float64) ** 2).sum(1) * self.step**2
+    def __init__(self, codes: np.ndarray, step: np.ndarray, error: np.ndarray, square: np.ndarray):
+        self.codes, self.step, self.error, self.square = codes, step, error, square
+
+    @staticmethod
+    def of(x: np.ndarray) -> Quantised:
+        with np.errstate(all="ignore"):  # what overflows becomes infinite, and bounds nothing
+            step = np.abs(x).max(1) / 127.0
+            step[step == 0] = 1.0
+            codes = np.clip(np.rint(x / step[:, None]), -127, 127).astype(np.int8)
+            rest = x - codes * step[:, None]
+            error = np.sqrt((rest * rest).sum(1)) * (1 + 1e-9) + 1e-150
+            return Quantised(codes, step, error, (codes.astype(np.float64) ** 2).sum(1) * step**2)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,61 +79,94 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bounds(q: Quantised, c: Quantised) -> tuple[np.ndarray, np.ndarray]:
     """Below and above the distance of each query and candidate: the quantised vectors' distance, less and plus both errors."""
-    square = q.square[:, None] + c.square[None, :] - 2.0 * _products(q.codes, c.codes) * q.step[:, None] * c.step[None, :]
-    slack = 1e-12 * (q.square[:, None] + c.square[None, :])
-    error = q.error[:, None] + c.error[None, :]
-    low = np.sqrt(np.maximum(square - slack, 0)) - error
-    return np.maximum(low, 0) * (1 - 1e-12), (np.sqrt(np.maximum(square + slack, 0)) + error) * (1 + 1e-12)
-
+    with np.errstate(all="ignore"):
+        square = q.square[:, None] + c.square[None, :] - 2.0 * _products(q.codes, c.codes) * q.step[:, None] * c.step[None, :]
+        slack = 1e-12 * (q.square[:, None] + c.square[None, :])
+        error = q.error[:, None] + c.error[None, :]
+        low = np.maximum(np.sqrt(np.maximum(square - slack, 0)) - error, 0) * (1 - 1e-12)
+        high = (np.sqrt(np.maximum(square + slack, 0)) + error) * (1 + 1e-12)
+    fine = np.isfinite(low) & np.isfinite(high)  # squares beyond what doubles hold say nothing
+    return np.where(fine, low, 0.0), np.where(fine, high, np.inf)
 
-def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances row by row in double precision, summed from the first component to the last."""
-    total = np.zeros(len(a))
-    for i in range(a.shape[1]):
-        d = a[:, i] - b[:, i]
-        total += d * d
-    return np.sqrt(total)
 
+class Survivors:
+    """Of each query of a tile, the candidates that may be among its k nearest.
 
-class Heaps:
-    """The k nearest so far of each query of a tile."""
+    ``far`` is the k-th smallest upper bound so far; what lies beyond it for certain is dropped. Equal vectors (by their
+    hash) are equally far, so no more than k of them are needed, those of smallest id.
+    """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
-        self.ids, self.vectors, self.k, self.codes = ids, vectors, k, Quantised(vectors)
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, codes: Quantised, k: int):
+        self.rows, self.ids, self.codes, self.k = rows, ids, codes, k
         self.far = np.full(len(ids), np.inf)
-        self.found: tuple = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.highs = np.full((len(ids), k), np.inf)
+        self.found: list[tuple] = []
+        self.held = 0
 
-    def meet(self, ids: np.ndarray, vectors: np.ndarray, codes: Quantised) -> None:
+    def meet(self, rows: np.ndarray, ids: np.ndarray, same: np.ndarray, codes: Quantised) -> None:
         low, high = bounds(self.codes, codes)
         own = self.ids[:, None] == ids[None, :]
-        if own.any():
-            low[own], high[own] = np.inf, np.inf
-        k = min(self.k, len(ids))
-        limit = np.minimum(self.far, np.partition(high, k - 1, axis=1)[:, k - 1] if k == self.k else np.inf)
-        q, c = np.nonzero((low <= limit[:, None]) & np.isfinite(low))
-        rows = [self.found] if len(self.found[0]) else []
-        for i in range(0, len(q), 1 << 18):  # so that many equal vectors need no more memory
-            a, b = q[i : i + (1 << 18)], c[i : i + (1 << 18)]
-            rows.append(self._top((a, ids[b], exact(self.vectors[a], vectors[b]))))
-        if rows:
-            self.found = self._top(tuple(np.concatenate(x) for x in zip(*rows, strict=True)))
-            at, _, score = self.found
-            counts = np.bincount(at, minlength=len(self.ids))
-            last = np.cumsum(counts)[counts >= self.k] - 1
-            self.far[np.flatnonzero(counts >= self.k)] = score[last]
-
-    def _top(self, rows: tuple) -> tuple:
-        at, ids, score = rows
-        order = np.lexsort((ids, score, at))
-        at, ids, score = at[order], ids[order], score[order]
-        first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.empty(0, int)
-        rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
-        keep = rank < self.k
-        return at[keep], ids[keep], score[keep]
-
-    def rows(self) -> pa.RecordBatch:
-        at, ids, score = self.found
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[at], pa.int64()), pa.array(ids, pa.int64()), pa.array(score)], names=["query_id", "vec_id", "score"])
+        high[own] = np.inf
+        both = np.concatenate([self.highs, high], 1)
+        self.highs = np.partition(both, self.k - 1, axis=1)[:, : self.k]
+        self.far = self.highs.max(1)
+        q, c = np.nonzero((low <= self.far[:, None]) & ~own)
+        self.found.append((q, rows[c], ids[c], same[c], low[q, c]))
+        self.held += len(q)
+        if self.held > PAIRS:
+            self.thin()
+
+    def thin(self) -> None:
+        q, rows, ids, same, low = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        fine = low <= self.far[q]
+        q, rows, ids, same, low = q[fine], rows[fine], ids[fine], same[fine], low[fine]
+        order = np.lexsort((rows, ids, same, q))
+        q, rows, ids, same, low = q[order], rows[order], ids[order], same[order], low[order]
+        first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (same[1:] != same[:-1]))) if len(q) else np.empty(0, int)
+        fine = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < self.k
+        self.found, self.held = [(q[fine], rows[fine], ids[fine], same[fine], low[fine])], int(fine.sum())
+
+    def pairs(self) -> pa.RecordBatch:
+        self.thin()
+        q, rows, ids, _, _ = self.found[0]
+        return pa.RecordBatch.from_arrays([pa.array(self.rows[q], pa.int64()), pa.array(self.ids[q], pa.int64()), pa.array(rows, pa.int64()), pa.array(ids, pa.int64())], names=["query_row", "query_id", "row", "vec_id"])
+
+
+def distance(a: str, b: str) -> Column:
+    """The Euclidean distance of two vectors in double precision, summed from the first component to the last."""
+    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
+
+
+def nearest(scored: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` smallest scores of each query, by heaps of ``k``; ties to the smaller vec_id.
+
+    Each task thins out the queries of its rows; what is left of a query, k rows a task at most, meets in order.
+    """
+
+    def heaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, heap = None, []
+
+        def rows() -> pa.RecordBatch:
+            best = sorted((-s, -v) for s, v in heap)
+            return pa.RecordBatch.from_arrays([pa.array([own] * len(best), pa.int64()), pa.array(range(1, len(best) + 1), pa.int32()), pa.array([v for _, v in best], pa.int64()), pa.array([s for s, _ in best], pa.float64())], names=["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            for query, vec, score in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if query != own:
+                    if heap:
+                        yield rows()
+                    own, heap = query, []
+                if len(heap) < k:
+                    heapq.heappush(heap, (-score, -vec))
+                elif (-score, -vec) > heap[0]:
+                    heapq.heapreplace(heap, (-score, -vec))
+        if heap:
+            yield rows()
+
+    schema = "query_id long, rank int, vec_id long, score double"
+    few = scored.select("query_id", "vec_id", "score").sortWithinPartitions("query_id").mapInArrow(heaps, schema)
+    return few.select("query_id", "vec_id", "score").repartition("query_id").sortWithinPartitions("query_id").mapInArrow(heaps, schema)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -127,18 +174,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     Candidates are dealt into groups of tiles; each query tile meets each group once, as rows of a join on the group,
     so neither side is ever held as a whole. A query's own vec_id is no candidate; vectors of other lengths than the
-    query's are none; repeated rows are candidates each. Ties go to the smaller vec_id. Rows that can't take part
-    (see :func:`usable`) are neither queries nor candidates.
+    query's are none; repeated rows are candidates each, and repeated queries are one. Ties go to the smaller vec_id;
+    distances beyond what doubles hold are infinite and tie. Rows that can't take part (see :func:`usable`) are neither
+    queries nor candidates. Other columns play no part; an empty table on either side gives no rows.
     """
-    found, asked = usable(vectors), usable(queries)
-    held = cut(found)
-    size = held.agg(F.sum(F.col("dims").cast("long") * 8)).first()[0] or 0
+    numbered = lambda df: df.withColumn("same", F.xxhash64("v"))
+    held = cut(numbered(usable(vectors)))
+    held = held.withColumn("row", F.monotonically_increasing_id())  # places in a written table: they do not change
+    asked = cut(numbered(usable(queries)).dropDuplicates(["vec_id", "same"])).withColumn("row", F.monotonically_increasing_id())
+    size = held.agg(F.sum(F.col("dims").cast("long"))).first()[0] or 0
     groups = max(1, math.ceil(size / GROUP_BYTES), min(FEW_GROUPS, math.ceil(size / LEAST_BYTES)))
-    of = F.pmod(F.xxhash64("vec_id", F.hash("v")), F.lit(groups)).cast("int")
-    spread = held.withColumn("part", of).repartition(groups, "part")
-    candidates = _tiles(spread, CANDIDATES).select("dims", "part", F.lit(1).alias("kind"), "tile", "ids", "data")
-    tiles = _tiles(asked.withColumn("part", F.lit(0)).repartition(max(1, groups // 64)), QUERIES)
-    tiles = tiles.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("dims", "part", F.lit(0).alias("kind"), "tile", "ids", "data")
+    spread = held.withColumn("part", F.pmod(F.xxhash64("vec_id", "same"), F.lit(groups)).cast("int"))
+    candidates = _tiles(spread.sortWithinPartitions("part") if groups > 1 else spread, CANDIDATES, 1)
+    tiles = _tiles(asked.withColumn("part", F.lit(0)).coalesce(max(1, groups // 8)), QUERIES, 0)
+    tiles = tiles.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(*candidates.columns)
     together = candidates.unionByName(tiles).repartition(groups, "part").sortWithinPartitions("part", "dims", F.desc("kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,20 +196,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             for row in batch.to_pylist():
                 if place != (row["part"], row["dims"]):
                     place, block = (row["part"], row["dims"]), []
-                ids = np.frombuffer(row["ids"], np.int64)
-                data = np.frombuffer(row["data"], np.float64).reshape(len(ids), -1)
+                rows, ids, same = (np.frombuffer(row[c], np.int64) for c in ("rows", "ids", "same"))
+                step, error, square = (np.frombuffer(row[c], np.float64) for c in ("step", "error", "square"))
+                codes = Quantised(np.frombuffer(row["codes"], np.int8).reshape(len(ids), -1), step, error, square)
                 if row["kind"]:
-                    block.append((ids, data, Quantised(data)))
+                    block.append((rows, ids, same, codes))
                 elif block:
-                    heaps = Heaps(ids, data, k)
+                    left = Survivors(rows, ids, codes, k)
                     for tile in block:
-                        heaps.meet(*tile)
-                    yield heaps.rows()
+                        left.meet(*tile)
+                    yield left.pairs()
 
-    near = together.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    pairs = together.mapInArrow(run, "query_row long, query_id long, row long, vec_id long")
+    pairs = pairs.join(asked.select(F.col("row").alias("query_row"), F.col("v").alias("q")), "query_row").select("query_id", "q", "row", "vec_id")
+    return nearest(pairs.join(held.select("row", "v"), "row").select("query_id", "vec_id", distance("q", "v").alias("score")), k)
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
