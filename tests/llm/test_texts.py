@@ -244,6 +244,53 @@ def test_classes_equal_brute_force(spark, monkeypatch, tile):
         assert neardup.classes(df.limit(0)).count() == 0
 
 
+def test_groups_that_their_leader_leaves_apart(spark, monkeypatch):
+    """Chains and clusters in which most links do not go through the leader of a band."""
+    r = random.Random(13)
+    rows, base = [], prose(r, 100)
+    for c in range(4):  # four clusters, each too far from the others, that share three quarters of a text
+        own = base.split()[:75] + prose(r, 25).split()
+        for i in range(12):
+            rows.append((100 * c + i, edit(r, " ".join(own), r.choice([0, 1, 2]))))
+    rows += [(900 + i, rows[i * 7][1]) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    for tile, size in ((1000, 16 << 20), (3, 16 << 20), (1000, 2000)):
+        monkeypatch.setattr(neardup, "TILE", tile)
+        monkeypatch.setattr(neardup, "TILE_BYTES", size)
+        assert sorted((str(x.doc_id), str(x.class_id)) for x in neardup.classes(df).collect()) == want
+
+
+def test_links_given_parts_and_sides():
+    r = np.random.default_rng(9)
+    sets = []
+    for _ in range(5):
+        whole = np.unique(r.integers(1, 1 << 40, 60)).astype(np.uint64)
+        sets += [np.sort(r.choice(whole, 56, replace=False)) for _ in range(6)]
+    all_links = neardup.link(sets)
+    parts = np.array([i // 2 for i in range(30)])
+    assert (neardup.link(sets, 0.8, parts) == neardup.link([*sets], 0.8, parts)).all()
+    together = neardup.link(sets, 0.8, parts)
+    for i in range(30):
+        for j in range(30):
+            if all_links[i] == all_links[j]:
+                assert together[i] == together[j]
+    sides = np.array([i % 2 for i in range(30)])
+    apart = neardup.link(sets, 0.8, None, sides)
+    near = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))
+    assert all(apart[i] == apart[j] for i in range(30) for j in range(30) if sides[i] != sides[j] and near(i, j))
+    assert len(neardup.link([])) == 0
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "same words here for all of us", f"s{i}", i) for i in range(20)] + [(2, "same words here for all of us", "z", 0), (None, None, "n", 1), (None, None, "n", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __text string, one long")
+    kept = neardup.one_of_each(df.repartition(3))
+    assert kept.columns == df.columns and [tuple(x) for x in kept.orderBy("doc_id").collect()] == [tuple(x) for x in neardup.one_of_each(df.repartition(7)).orderBy("doc_id").collect()]
+    assert sorted(str(x.doc_id) for x in kept.collect()) == ["1", "None"]
+    assert neardup.one_of_each(df.limit(0)).count() == 0
+
+
 def test_signatures_agree_like_weighted_similarity():
     r = np.random.default_rng(4)
     a = {int(x): int(n) for x, n in zip(r.integers(1, 1 << 60, 300), r.integers(1, 5, 300), strict=True)}

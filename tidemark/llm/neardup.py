@@ -1,4 +1,9 @@
-"""Near duplicates by DartMinHash signatures, a banded join, exact similarities and connected components."""
+"""Near duplicates by DartMinHash signatures, a banded join, exact similarities and connected components.
+
+Documents that share a band meet their band's leader first, one pair each. Only where that leaves members of a band apart
+are they compared with each other, those of the largest part with the others alone; so a large group of copies costs a
+comparison a document, not one a pair.
+"""
 
 from __future__ import annotations
 
@@ -11,15 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, table, text_of
+from .common import chunks, cut, fresh, table, text_of
 from .words import BASE, Words, mix, words_of
 
 #: Words of a shingle, and the weighted Jaccard similarity from which documents are linked.
 SHINGLE, LEAST = 5, 0.8
-#: Coordinates of a signature, coordinates of a band, bands. A pair at 0.8 shares a band with a probability above 0.999.
-COORDINATES, ROWS, BANDS = 128, 7, 40
-#: Documents that one task compares at most: a larger group is cut into tiles, and each pair of tiles is a task.
-TILE = 1000
+#: Coordinates of a signature, coordinates of a band, bands. Of pairs at 0.8 exactly, one in 6,600 shares no band (of pairs
+#: at 0.82 one in 27,000), by simulation of this choice of coordinates.
+COORDINATES, ROWS, BANDS = 128, 7, 64
+#: Documents of a group, and bytes of their shingles, that one task compares at most, about: a larger group is cut into
+#: tiles, and a pair of tiles is a task.
+TILE, TILE_BYTES = 1000, 16 << 20
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +134,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(len(texts), np.int64)
         held[some] = BANDS
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)), pa.int32()), pa.array(found.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes_of(w, texts)), lists], names=["doc_id", "key", "node", "bands"])
+        sizes = np.bincount(owner, weight, len(texts)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes_of(w, texts)), pa.array(sizes), lists], names=["doc_id", "key", "node", "n", "bands"])
 
 
 class _Maybe:
@@ -166,28 +174,35 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             again = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
             items, of = mix(np.repeat(elements, weight) + again.astype(np.uint64) * np.uint64(BASE)), np.repeat(owner, weight)
             order = np.lexsort((items, of))
-            items, cuts = items[order], np.searchsorted(of, np.arange(len(own) + 1)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[once]), pa.array([items[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=["node", "items"])
+            cuts = np.searchsorted(of, np.arange(len(own) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[once]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(items[order].view(np.int64)))], names=["node", "items"])
 
-    found = docs.select(text_of().alias("text")).mapInArrow(run, "node long, items binary")
+    found = docs.select(text_of().alias("text")).mapInArrow(run, "node long, items array<long>")
     return found.groupBy("node").agg(F.first("items").alias("items")).join(wanted, "node", "left_semi")
 
 
-def link(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
+def link(sets: list[np.ndarray], least: float = LEAST, parts: np.ndarray | None = None, sides: np.ndarray | None = None) -> np.ndarray:
     """The component of each set (its smallest member's number) by all links of similarity ``least`` or more among them.
 
-    One set after another is compared with all sets of other components at once. Distances obey the triangle inequality,
-    so sets too far apart as seen from earlier ones, and sets of too different sizes, need no comparison.
+    ``parts``: numbers of components that are known; sets of one are not compared. ``sides``: where given, sets of one side
+    are not compared either. One set after another is compared with all sets of other components at once. Distances obey
+    the triangle inequality, so sets too far apart as seen from earlier ones, and sets of too different sizes, need no
+    comparison.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     begin = np.append(0, np.cumsum(sizes))
     flat = np.concatenate(sets) if n else np.empty(0, np.uint64)
     root = np.arange(n)
+    if parts is not None and n:
+        _, first, which = np.unique(parts, return_index=True, return_inverse=True)
+        root = first[which]
     seen: list[np.ndarray] = []
     slack = 1 - least + 1e-9
     for i in range(n):
         fine = root != root[i]
+        if sides is not None:
+            fine &= sides != sides[i]
         fine[:i] = False  # compared from the other side
         if not fine.any():
             if (root == root[i]).all():
@@ -216,13 +231,42 @@ def link(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
 
 
 def _compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    nodes = group.column("node").to_numpy()
+    nodes, parts, sides = (group.column(c).to_numpy() for c in ("node", "root", "side"))
     order = np.argsort(nodes)
     items = group.column("items").combine_chunks()
-    root = link([np.frombuffer(items[i].as_buffer(), np.uint64) for i in order.tolist()])
-    nodes = nodes[order]
-    other = np.flatnonzero(root != np.arange(len(root)))
-    return pa.table({"a": nodes[root[other]], "b": nodes[other]})
+    root = link([items[i].values.to_numpy().view(np.uint64) for i in order.tolist()], LEAST, parts[order], sides[order] if len(set(sides.tolist())) > 1 else None)
+    nodes, parts = nodes[order], parts[order]
+    first = np.unique(parts, return_index=True)[1]  # one of each component that was known before
+    first = first[root[first] != first]
+    return pa.table({"a": nodes[root[first]], "b": nodes[first]})
+
+
+def _stars(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): members that are similar to their leader. One pair of sets per member; JVM functions alone."""
+    sizes = members.where("node = leader").select("leader", F.col("n").alias("m"))
+    pairs = members.where("node <> leader").join(sizes, "leader").where("5 * least(n, m) >= 4 * greatest(n, m)").select("leader", "node")
+    own = pairs.join(sets, "node").withColumnRenamed("items", "own")
+    both = own.join(sets.select(F.col("node").alias("leader"), "items"), "leader")
+    common = F.size(F.array_intersect("own", "items"))
+    return both.where(9 * common >= 4 * (F.size("own") + F.size("items"))).select(F.col("leader").alias("a"), F.col("node").alias("b"))
+
+
+def _rest(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): links between members of a group, but for its leader, that lie in different components so far."""
+    rest = members.where("node <> leader").join(roots, "node", "left").select("leader", "node", "n", F.coalesce("root", "node").alias("root"))
+    parts = rest.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    whole = parts.groupBy("leader").agg(F.max(F.struct("c", "root", "w")).alias("big"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    tiles = lambda c, w: F.greatest(F.ceil(c / TILE), F.ceil(w * 8 / TILE_BYTES), F.lit(1)).cast("int")
+    sized = whole.select("leader", F.col("big.root").alias("most"), tiles(F.col("big.c"), F.col("big.w")).alias("many"), tiles(F.col("c") - F.col("big.c"), F.col("w") - F.col("big.w")).alias("few"))
+    placed = rest.join(sized, "leader").withColumn("side", (F.col("root") != F.col("most")).cast("int"))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("node", "leader"), F.when(F.col("side") == 0, F.col("many")).otherwise(F.col("few"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    at = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    # a tile of the others meets every tile of the largest part, and every tile of the others
+    largest = F.transform(upto("few"), lambda i: at(i, F.col("tile")))
+    others = F.concat(F.transform(upto("many"), lambda j: at(F.col("tile"), j)), F.transform(upto("few"), lambda o: at(F.least("tile", o), F.col("many") + F.greatest("tile", o))))
+    dealt = placed.withColumn("at", F.explode(F.when(F.col("side") == 0, largest).otherwise(others))).select("leader", "node", "root", "side", "at.i", "at.j")
+    return dealt.join(sets, "node").groupBy("leader", "i", "j").applyInArrow(_compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -254,32 +298,38 @@ def classes(docs: DataFrame) -> DataFrame:
     names a class unless it has no other. Other columns play no part. An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("key"), text_of().alias("text"))
-    slim = cut(texts.mapInArrow(_sketches, "doc_id long, key long, node long, bands array<long>"))
-    once = slim.groupBy("node").agg(F.first("bands").alias("bands"))
-    rows = cut(once.select("node", F.explode("bands").alias("bucket")))
-    leaders = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "leader")
-    members = cut(rows.join(leaders, "bucket").select("leader", "node").distinct())
-    tiles = members.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles")).where("tiles > 1")
-    own = F.coalesce("tiles", F.lit(1))
-    placed = members.join(tiles, "leader", "left").select("leader", "node", own.alias("tiles"), F.pmod(F.xxhash64("node", "leader"), own).cast("int").alias("tile"))
-    # tile i meets every tile j: the group (smaller, larger) holds both
-    placed = placed.select("leader", "node", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    placed = placed.select("leader", "node", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    held = placed.join(_sets(docs, members.select("node").distinct()), "node")
-    edges = held.groupBy("leader", "i", "j").applyInArrow(_compare, "a long, b long")
-    # cut, so that the joins stand on plain exchanges, in which a partition with a large class can be split
+    slim = cut(texts.mapInArrow(_sketches, "doc_id long, key long, node long, n long, bands array<long>"))
+    once = slim.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
+    rows = cut(once.select("node", "n", F.explode("bands").alias("bucket")))
+    leaders = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "leader")
+    members = cut(rows.join(leaders, "bucket").select("leader", "node", "n").distinct())
+    sets = cut(_sets(docs, members.select("node").distinct()))
+    edges = cut(_stars(members, sets))
     roots = cut(components(edges))
+    more = cut(_rest(members, sets, roots))
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    # cut, so that the joins stand on plain exchanges, in which a partition with a large class can be split
+    roots = cut(roots)
     rooted = cut(slim.select("doc_id", "key", "node").join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root")))
     names = cut(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")))
     return rooted.join(names, "root").select("doc_id", "key", "class_id", ((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("key") == F.col("first.key"))).alias("is_first"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand first in their class (smallest doc_id, then hash of the text), each once, all columns."""
-    first = classes(docs).where("is_first").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    rows = docs.withColumn("__text", F.xxhash64(text_of()))
-    kept = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    """The rows of ``docs`` that stand first in their class (smallest doc_id, then hash of the text), each once, all columns.
+
+    Of rows equal in doc_id and text, that of the smallest hash of all columns stays, whatever their order. Nulls, empty
+    texts and empty tables are as in :func:`classes`; columns of any name stay as they are.
+    """
+    one, key, text, rest = fresh(docs.columns, "one", "key", "text_key", "rest")
+    first = classes(docs).where("is_first").select(F.col("doc_id").alias(one), F.col("key").alias(key)).distinct()
+    rows = docs.withColumn(text, F.xxhash64(text_of()))
+    kept = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (F.col(text) == F.col(key)), "left_semi")
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    return kept.groupBy(F.col("doc_id").alias(one), text).agg(F.min_by(F.struct(*names), order).alias(rest)).select(f"{rest}.*")
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
