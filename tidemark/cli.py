@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import sys
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.lineage import shared_dir
 from .functions.windows import Sessions, Sliding, Tumbling
 from .operators import heavy
 from .operators.aggregate import sessions, totals_by_window, windowed, windowed_by_panes
@@ -74,7 +75,7 @@ def heavyhitters(spark: SparkSession) -> DataFrame:
 def restart(spark: SparkSession) -> DataFrame:
     """Two halves with a restart between them, and the whole: equal results."""
     stream = source.mixed_stream(spark, n=800, duplicate_fraction=0.1).drop("bucket")
-    policy, folder = Policy(Tumbling(60), BoundedLag(10), "count", 60, 600), tempfile.mkdtemp(prefix="tidemark-")
+    policy, folder = Policy(Tumbling(60), BoundedLag(10), "count", 60, 600), f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     half = stream.count() // 2
     Replay(spark, policy, folder).process(stream.where(F.col("seq") <= half), 0)
     after = Replay(spark, policy, folder)

@@ -1,24 +1,33 @@
-"""Cutting a plan where several results need the same expensive rows."""
+"""Cutting a plan where several results need the same expensive rows, and the folder for what is written then."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Whether a query's shuffle files go as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share. Only a session on one machine that names none gets one of its
+    own; on a cluster, executors would not see a folder of the driver's."""
+    named, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not sc.getCheckpointDir():
+        if not named and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
+    return named or sc.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to spark.checkpoint.dir and go on from there: it is computed once, and no executor's loss brings it back.
+    """Write ``df`` to the shared folder and go on from there: it is computed once, and no executor's loss brings it back.
 
-    Where the session names no folder, one of our own is set (single machine).
+    The shuffle files behind it are then of no more use and go at once, where Spark can do that.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    shared_dir(spark)
     before = spark.conf.get(CLEANUP, "false")
     try:
         spark.conf.set(CLEANUP, "true")
