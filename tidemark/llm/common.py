@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -10,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_dir
+
+__all__ = ["chunks", "cut", "dealt", "fresh", "remove", "remove_at_end", "shared_dir", "table", "text_of"]
+
 #: Bytes of text that one vectorised step takes at most; a longer text is a step of its own.
 CHUNK_CHARS = 2_000_000
 
@@ -18,20 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Only a session on one machine that names none gets one of its
-    own; on a cluster a folder of the driver's would not be seen by executors."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-    return sc.getCheckpointDir()
+def dealt(df: DataFrame, parts: int, column: str) -> DataFrame:
+    """``df`` dealt into ``parts`` by a column and written so (see :func:`cut`): what groups by that column then reads it in
+    place. Only a plan that is not adapted on its way tells how its rows lie."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        return cut(df.repartition(parts, column))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -40,6 +40,16 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Delete a folder when the Python process ends, if its session is still there then."""
+
+    def run() -> None:
+        if spark.sparkContext._jsc is not None:
+            remove(spark, folder)
+
+    atexit.register(run)
+
+
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """``names``, each with underscores behind it where it is taken (case does not count)."""
     used, out = {t.lower() for t in taken}, []
@@ -51,25 +61,6 @@ def fresh(taken: Iterable[str], *names: str) -> list[str]:
     return out
 
 
-#: Whether a query's shuffle files go as soon as it has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there: later steps neither recompute it nor depend on an executor.
-
-    The shuffle files behind it are then of no more use and go at once, where Spark can do that.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    before = spark.conf.get(CLEANUP, "false")
-    try:
-        spark.conf.set(CLEANUP, "true")
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(CLEANUP, before)
-
-
 def text_of(column: str = "text"):
     """The text column, null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -23,7 +23,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import cut, remove_at_end, shared_dir, table
 
 #: Lines of a compressed index block, captures of an index shard (about), index shards at most, bytes of an archive file (about).
 BLOCK_LINES, SHARD_LINES, MOST_SHARDS, FILE_BYTES = 1000, 100_000, 4096, 512 << 20
@@ -86,11 +86,12 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 @dataclass
 class Archive:
-    """Where an archive lies, and the first key of each of its index shards with the shard's file."""
+    """Where an archive lies, the first key of each of its index shards with the shard's file, and bytes of records."""
 
     root: str
     firsts: list[str]
     files: list[str]
+    size: int = 0
 
 
 def _payload(column: str = "html"):
@@ -139,7 +140,8 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0) -> Archive:
     files, base = _open(root)
     files.create_dir(base, recursive=True)
     captures = cut(rows.select("page_id", "url", "payload", "first").mapInArrow(put, "key string, file string, offset long, length long"))
-    shards = max(1, min(MOST_SHARDS, math.ceil(captures.count() / SHARD_LINES)))
+    made = captures.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("size")).first()
+    shards = max(1, min(MOST_SHARDS, math.ceil(made.n / SHARD_LINES)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = _open(root)
@@ -169,9 +171,9 @@ def write(pages: DataFrame, root: str, least_bytes: int = 0) -> Archive:
             yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([name])], names=["first", "file"])
 
     order = ["key", "file", "offset"]
-    made = captures.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(index, "first string, file string")
-    tops = sorted((r.first, r.file) for r in cut(made.select("first", "file")).toPandas().itertuples(index=False))  # MOST_SHARDS at most
-    return Archive(root, [t[0] for t in tops], [t[1] for t in tops])
+    indexed = captures.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(index, "first string, file string")
+    tops = sorted((r.first, r.file) for r in cut(indexed.select("first", "file")).toPandas().itertuples(index=False))  # MOST_SHARDS at most
+    return Archive(root, [t[0] for t in tops], [t[1] for t in tops], made["size"] or 0)
 
 
 def locate(archive: Archive, keys: DataFrame) -> DataFrame:
@@ -219,7 +221,11 @@ def locate(archive: Archive, keys: DataFrame) -> DataFrame:
 
 
 def fetch(archive: Archive, places: DataFrame) -> DataFrame:
-    """key, page_id, url, record_type, payload_digest, payload_bytes, refers_to and body of the records at ``places``."""
+    """key, page_id, url, record_type, payload_digest, payload_bytes, refers_to and body of the records at ``places``.
+
+    How many tasks read follows from the bytes of the archive: the places themselves are a few bytes each, and a count of
+    tasks made from them would put most of an archive into one.
+    """
     root = archive.root
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +247,7 @@ def fetch(archive: Archive, places: DataFrame) -> DataFrame:
         if source is not None:
             source.close()
 
-    near = places.select("key", "file", "offset", "length").repartition("file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
+    near = places.select("key", "file", "offset", "length").repartition(max(1, math.ceil(archive.size / READ_BYTES)), "file", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("file", "offset")
     return near.mapInArrow(read, "key string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, body binary")
 
 
@@ -256,8 +262,10 @@ def keys_of(pages: DataFrame) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages written as records, then found by the index and read back."""
+    """All pages written as records, then found by the index and read back. The archive goes when the session ends."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    archive = write(pages, f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}")
+    root = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    remove_at_end(spark, root)
+    archive = write(pages, root)
     back = fetch(archive, locate(archive, keys_of(pages)))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
