@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic, fit, isotonic, sigmoid
-from .common import chunks, cut, table, text_of
+from .common import chunks, cut, fresh, table, text_of
 from .words import KNOWN, Words, word_table, words_of
 
 #: Insults of four languages, in lower case, and words that address the reader. Fixed values.
@@ -153,9 +153,8 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def _stem_counts(df: DataFrame, only: np.ndarray | None, spread: int) -> DataFrame:
-    """Rows (fold, toxic, stem, n): in how many texts a stem occurs; of the stems in ``only``, or of all."""
-    known = None if only is None else Lexicon(only.view(np.uint64), np.ones(len(only)))
+def _stem_counts(df: DataFrame) -> DataFrame:
+    """Rows (fold, toxic, stem, n): in how many texts a stem occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
@@ -163,9 +162,6 @@ def _stem_counts(df: DataFrame, only: np.ndarray | None, spread: int) -> DataFra
             kind = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
             found, owner = [], []
             for number, hashes in stem_hashes(w):
-                if known is not None:
-                    at = known.of(hashes)[0]
-                    number, hashes = number[at], hashes[at]
                 found.append(hashes), owner.append(w.owner[number])
             h, o = np.concatenate(found), np.concatenate(owner)
             order = np.lexsort((o, h))
@@ -186,29 +182,33 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
 
     Stems are learned on each half of these rows and applied to the other, so that features of training rows do not
     know their own labels; the calibration uses margins of trees that have not seen the row. Without rows of both labels
-    the score is the share of label 1 (0 without rows).
+    the score is the share of label 1 (0 without rows). Of a doc_id that occurs more than once, in ``labels`` or ``docs``,
+    one row counts: toxic if any label says so, with the text of the smallest hash. Null doc_ids and labels take no part.
+    Columns beyond doc_id, text and toxic play none either.
     """
     spark = docs.sparkSession
     sample = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("long")).alias("toxic"))
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2)))
-    texts = cut(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id").select("fold", "toxic", "text"))
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")  # MOST_ROWS rows
+    texts = cut(found.groupBy("doc_id", "fold", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("fold", "toxic", "text"))
     shares = {(r.fold, r.toxic): r.n for r in texts.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows, toxic = sum(shares.values()), sum(n for k, n in shares.items() if k[1])
     empty = Lexicon(np.empty(0, np.uint64), np.empty(0))
     if min((shares.get((f, t), 0) for f in (0, 1) for t in (0, 1)), default=0) < 2:
         return Model(empty, None, None, toxic / rows if rows else 0.0)
-    seen = _stem_counts(texts.where("toxic = 1"), None, 0).groupBy("stem").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS)
-    keys = np.array([r.stem for r in seen.orderBy(F.desc("n"), "stem").limit(20 * MOST_STEMS).collect()], np.int64)
-    counts = _stem_counts(texts, keys, 0).toPandas()
+    of = lambda fold, label: F.coalesce(F.sum(F.when((F.col("fold") == fold) & (F.col("toxic") == label), F.col("n"))), F.lit(0)).alias(f"n{fold}{label}")
+    counts = cut(_stem_counts(texts).groupBy("stem").agg(*[of(f, t) for f in (0, 1) for t in (0, 1)]).where(F.col("n01") + F.col("n11") >= 2))
 
     def lexicon(fold: int | None) -> Lexicon:
-        part = counts if fold is None else counts[counts.fold == fold]
-        n = {t: sum(v for k, v in shares.items() if k[1] == t and fold in (None, k[0])) for t in (0, 1)}
-        by = part.groupby(["stem", "toxic"]).n.sum().unstack(fill_value=0).reindex(columns=[0, 1], fill_value=0)
-        ratio = (by[1] + 0.5) / (n[1] + 1) / ((by[0] + 0.5) / (n[0] + 1))
+        """Stems of the largest ratio, of the rows of one half or of all."""
+        folds = (0, 1) if fold is None else (fold,)
+        seen = {t: sum((F.col(f"n{f}{t}") for f in folds), F.lit(0)) for t in (0, 1)}
+        n = {t: sum(shares[f, t] for f in folds) for t in (0, 1)}
+        ratio = (seen[1] + 0.5) / (n[1] + 1) / ((seen[0] + 0.5) / (n[0] + 1))
         least = LEAST_ROWS if fold is None else max(2, LEAST_ROWS // 2)
-        ratio = ratio[(by[1] >= least) & (ratio >= LEAST_RATIO)].sort_index().sort_values(ascending=False, kind="stable")[:MOST_STEMS]
-        return Lexicon(ratio.index.to_numpy().astype(np.int64).view(np.uint64), np.log(ratio.to_numpy()))
+        best = counts.select("stem", seen[1].alias("rows"), ratio.alias("ratio")).where((F.col("rows") >= least) & (F.col("ratio") >= LEAST_RATIO))
+        top = best.orderBy(F.desc("ratio"), "stem").limit(MOST_STEMS).toPandas()
+        return Lexicon(top.stem.to_numpy().astype(np.int64).view(np.uint64), np.log(top.ratio.to_numpy(float)))
 
     whole, halves = lexicon(None), {f: lexicon(1 - f) for f in (0, 1)}
     width = features(["a"], whole).shape[1]
@@ -233,22 +233,29 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     return Model(whole, fit(x, y), isotonic(margins, y), float(y.mean()))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``docs`` and ``__score``. Null and empty texts have a score too."""
+def score(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
+    """All rows and columns of ``docs`` and a score under ``name``, which must be free. Null and empty texts have a score
+    too, repeated rows one each; an empty table gives no rows."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name!r} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MOST_STEMS weights and the trees
     names = docs.columns
-    schema = docs.withColumn("__score", F.lit(0.0)).schema
+    schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(texts))], names=[*names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(texts))], names=[*names, name])
 
     return docs.mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below ``TOXIC_FROM``, all their columns, by a model fitted on labelled rows of ``docs``."""
-    return score(docs, train(docs, labels)).where(F.col("__score") < TOXIC_FROM).drop("__score")
+    """The rows of ``docs`` that score below ``TOXIC_FROM``, all their columns, by a model fitted on labelled rows of ``docs``.
+
+    Columns of any name stay as they are. Without labelled rows of both kinds the share of toxic ones is every row's score.
+    """
+    (name,) = fresh(docs.columns, "score")
+    return score(docs, train(docs, labels), name).where(F.col(name) < TOXIC_FROM).drop(name)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
