@@ -202,7 +202,10 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         self.merger = Merger(ranks)
         self._forget()
-        self.token_bytes = [self.merger.tokens.get(i, b"") for i in range(self.merger.most)]
+        tokens = [self.merger.tokens.get(i, b"") for i in range(self.merger.most)]
+        self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.at = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
@@ -244,8 +247,18 @@ class Codec:
         per_text = offsets[np.searchsorted(owner, np.arange(len(texts) + 1))]
         return ids, per_text, offsets
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
+    def decode_all(self, ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids on end, and where those of ``ids[cuts[i]:]`` begin: with the cuts of texts, each text's
+        bytes; with the offsets of pre-tokens that :meth:`encode` gives, each pre-token's."""
+        sizes = self.lengths[ids]
+        ends = np.append(0, np.cumsum(sizes))
+        return self.bytes[np.arange(ends[-1]) + np.repeat(self.at[ids] - ends[:-1], sizes)], ends[cuts]
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray | None = None, first: int = 0, last: int | None = None) -> bytes:
+        """The bytes of all ids; with ``offsets``, those of the pre-tokens from ``first`` up to ``last`` alone."""
+        if offsets is not None:
+            ids = ids[offsets[first] : offsets[len(offsets) - 1 if last is None else last]]
+        return self.decode_all(np.asarray(ids, np.int64), np.zeros(1, np.int64))[0].tobytes()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -259,28 +272,37 @@ def _codec(path: str) -> Codec:
 
 
 def encode_documents(df: DataFrame, path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids per row of ``df`` (doc_id, text).
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, token_ids and offsets per row of ``df`` (doc_id, text).
 
+    offsets: where each pre-token's ids begin, and their number last: any stretch of pre-tokens can be decoded by itself
+    (see :meth:`Codec.decode`). Digests are of the bytes that the ids decode to.
     Null and empty texts have no tokens; repeated rows and null doc_ids give a row each; other columns play no part.
     The vocabulary file must lie at ``path`` on every machine. A text is encoded as a whole.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, offsets array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         for batch, texts in chunks(batches, "text", STEP_BYTES):
-            ids, cuts, _ = codec.encode(texts)
-            cuts = cuts.tolist()
-            spans = [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            ids, cuts, offsets = codec.encode(texts)
+            raw, ends = codec.decode_all(ids, cuts)
+            raw, ends = memoryview(raw), ends.tolist()
+            packed, begins = memoryview(ids.astype("<u4").tobytes()), (cuts * 4).tolist()
             out = [
                 batch.column(0),
                 pa.array(np.diff(cuts), pa.int64()),
-                pa.array([hashlib.sha256(s.astype("<u4").tobytes()).hexdigest() for s in spans], pa.string()),
-                pa.array([hashlib.sha256(codec.decode(s)).hexdigest() for s in spans], pa.string()),
+                pa.array([hashlib.sha256(packed[a:b]).hexdigest() for a, b in zip(begins, begins[1:], strict=False)], pa.string()),
+                pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)], pa.string()),
             ]
             if with_ids:
                 out.append(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * with_ids])
+                # a text's offsets: those of its pre-tokens from its own first id on, and its number of ids
+                first = np.searchsorted(offsets, cuts)
+                sizes = np.diff(first) + 1
+                own = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - first[:-1], sizes)
+                starts = offsets[own] - np.repeat(cuts[:-1], sizes)
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(starts, pa.int32())))
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids", "offsets"] * with_ids])
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
 
