@@ -57,6 +57,51 @@ def test_toxicity_scores_held_out_rows_and_awkward_ones(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_with_repeated_ids_and_taken_names(spark):
+    rows, labels = documents(random.Random(2), 300)
+    docs = spark.createDataFrame([(*x, "z", 1.0) for x in rows + [rows[0]] * 50 + [(rows[1][0], "another text")]], "doc_id long, text string, score string, __score double")
+    labels = spark.createDataFrame(labels * 2 + [(3, 1), (None, 1)], "doc_id long, toxic int")
+    kept = toxicity.keep_clean(docs, labels)
+    assert kept.columns == docs.columns and 200 < kept.count() < 300 + 50
+    with pytest.raises(ValueError, match="__score"):
+        toxicity.score(docs, toxicity.train(docs, labels))
+    few = toxicity.train(docs, labels, most_rows=40)
+    assert few.trees is None or few.prior < 1
+
+
+def naive_isotonic(margin, y):
+    """Pools of adjacent violators, one after another, in plain Python: sum of margins, the last one, sum of y, rows."""
+    pools = []
+    for m in sorted(set(margin)):
+        own = [b for a, b in zip(margin, y, strict=True) if a == m]
+        pools.append([m * len(own), m, sum(own), len(own)])
+        while len(pools) > 1 and pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]:
+            last = pools.pop()
+            pools[-1] = [pools[-1][0] + last[0], last[1], pools[-1][2] + last[2], pools[-1][3] + last[3]]
+    return pools
+
+
+def test_isotonic_equals_pooling():
+    r = random.Random(3)
+    for n in (1, 5, 200):
+        margin = [round(r.gauss(0, 1), 1) for _ in range(n)]
+        y = [float(r.random() < 1 / (1 + math.exp(-m))) for m in margin]
+        curve = boosting.isotonic(np.array(margin), np.array(y))
+        pools = naive_isotonic(margin, y)
+        assert curve.value.tolist() == pytest.approx([s / k for _, _, s, k in pools])
+        assert [curve(np.array([a / k]))[0] for a, _, _, k in pools] == pytest.approx([s / k for _, _, s, k in pools])
+
+
+def test_first_split_equals_trying_all():
+    r = np.random.default_rng(4)
+    x = r.integers(0, 9, (120, 3)).astype(float)
+    y = ((x[:, 1] > 4) ^ (r.random(120) < 0.1)).astype(float)
+    model = boosting.fit(x, y)
+    p = y.mean()
+    best = max((((y[x[:, f] <= t] - p).sum() ** 2 / (len(y[x[:, f] <= t]) * p * (1 - p) + 1) + (y[x[:, f] > t] - p).sum() ** 2 / (len(y[x[:, f] > t]) * p * (1 - p) + 1), f) for f in range(3) for t in range(8)))
+    assert best[1] == 1 and ((model.margin(x) > 0) == (x[:, 1] > 4)).mean() > 0.95
+
+
 def kneser_ney(counts, order):
     """Probabilities as the books give them, by recursion over plain dictionaries."""
     tables = {order: collections.Counter(counts)}
@@ -120,6 +165,54 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert quality.score(docs.limit(0), labels).count() == 0
 
 
+def test_quality_deals_repeated_rows_apart_and_keeps_names(spark, monkeypatch):
+    r = random.Random(6)
+    words = ["stone", "water", "green", "garden", "morning", "letter", "window", "silver"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(40)), "en") for i in range(200)]
+    hot = [(None, rows[0][1], "en")] * 500 + [(7, rows[7][1], "en")] * 500 + [(None, None, "en")] * 100
+    docs = spark.createDataFrame([(*x, "k", 1, "l") for x in rows + hot], "doc_id long, text string, lang string, __text string, one long, key string").coalesce(1)
+    labels = spark.createDataFrame([(i, 1) for i in range(180)], "doc_id long, quality int")
+    whole = {(x.doc_id, x.key): x.bits for x in quality.score(docs, labels).collect()}
+    monkeypatch.setattr(quality, "BLOCK_CHARS", 2000)
+    blocks = quality._blocks(docs, labels.select("doc_id"))
+    assert max(x["count"] for x in blocks.where("kind = 0").groupBy("block").count().collect()) < 20
+    done = quality.score(docs, labels).collect()
+    assert len(done) == len(rows) + len(hot) and all(x.bits == pytest.approx(whole[x.doc_id, x.key], rel=1e-5) for x in done)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() >= 0.98 * docs.count()
+    # the blocks are found where they were written
+    plan = blocks.groupBy("block").applyInArrow(quality._gram_counts, "block long, gram string, n long")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def naive_quantile(values, q):
+    values = sorted(round(v, 2) for v in values)
+    return next(v for i, v in enumerate(values, 1) if i >= q * len(values))
+
+
+def test_verdicts_equal_plain_arithmetic(spark):
+    r = random.Random(7)
+    rows = []
+    for i in range(600):
+        lang = "en" if i < 400 else "de" if i < 580 else "xx"
+        trusted = i % 2 == 0
+        rows.append((i, i, lang, trusted, trusted and i % 4 == 0, r.randint(1, 9000), round(r.gauss(3, 0.2) + (4 if i % 50 == 49 else 0), 4)))
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, quality.SCORED)).collect()}
+    for lang in ("en", "de", "xx"):
+        own = [x for x in rows if x[2] == lang]
+        held = [x for x in own if x[4]]
+        if len(held) < quality.LEAST_DOCS:
+            assert all(got[x[0]].keep and got[x[0]].surprise is None for x in own)
+            continue
+        median = naive_quantile([x[6] for x in held], 0.5)
+        surprise = {x[0]: (x[6] - median) * math.sqrt(min(x[5], quality.STEADY)) for x in own}
+        high = naive_quantile([surprise[x[0]] for x in held], quality.HIGH)
+        low = min(naive_quantile([surprise[x[0]] for x in own if x[3]], quality.LOW), -high)
+        for x in own:
+            assert got[x[0]].surprise == pytest.approx(surprise[x[0]])
+            assert got[x[0]].keep == (low * quality.FARTHER <= surprise[x[0]] <= high * quality.FARTHER)
+
+
 def lexicon(r, n, letters):
     return ["".join(r.choice(letters) for _ in range(6)) for _ in range(n)]
 
@@ -205,6 +298,18 @@ def test_bounds_hold_the_distance():
     assert (low <= true).all() and (true <= high).all() and (high - low).max() < 1
 
 
+def test_archives_are_read_by_as_many_tasks_as_their_bytes_need(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 4000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    r = random.Random(14)
+    rows = [(i, f"http://h{i % 5}.example.com/{i}", "".join(r.choice("abcdef") for _ in range(1500))) for i in range(200)] + [(900, "http://big.example.com/", "".join(r.choice("abcdef") for _ in range(2_000_000)))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    archive = warc.write(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    back = warc.fetch(archive, warc.locate(archive, warc.keys_of(pages)))
+    assert back.rdd.getNumPartitions() > 100
+    assert sorted((x.page_id, x.body.decode()) for x in back.collect()) == [(i, p) for i, _, p in rows]
+
+
 def test_archive_round_trip(spark):
     rows = [(3, "http://b.example.com/x", "same"), (1, "http://a.example.com/y?q=1#f", "same"), (2, None, None), (4, "https://B.example.com:443/x", ""), (None, "http://c.example.org/", "same"), (5, "u", "ü" * 40_000), (1, "http://a.example.com/y?q=1#f", "same")]
     pages = spark.createDataFrame([(*x, "k", 1) for x in rows], "page_id long, url string, html string, key string, length int")

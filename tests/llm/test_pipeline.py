@@ -39,3 +39,31 @@ def test_keeps_what_is_good_unique_and_unleaked(spark, tmp_path):
     assert len(got) >= 327  # the quantiles may cost a clean document or two
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.default_vocabulary()), special_tokens={})
     assert all(x.token_ids == own.encode_ordinary(texts[i]) and x.n_tokens == len(x.token_ids) for i, x in got.items())
+
+
+def written(spark, folder, docs, labels, items):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_every_stage_on_awkward_rows(spark, tmp_path):
+    r = random.Random(21)
+    columns = "doc_id long, text string, lang string, source string, n_chars long, __text string, one long, score double"
+    good = [(i, prose(r, 80), "en", "s", 1, "t", i, 0.5) for i in range(30)]
+    rows = [*good, (None, None, None, None, None, None, None, None), (100, "", "en", None, 0, "x", 1, 0.0), (101, "", "en", "s", 0, "x", 1, 0.0), good[3], good[3], (None, good[4][1], "en", "s", 1, "t", 1, 1.0), (102, "x" * 200_000, None, "s", 1, "t", 1, 1.0), (103, prose(r, 40_000), "en", "s", 1, "t", 1, 1.0)]
+    docs = spark.createDataFrame(rows, columns)
+    folder = written(spark, tmp_path / "a", docs, [(0, 1, 0), (0, 1, 1), (None, 1, 1), (1, None, None)], [(0, prose(r, 30)), (None, prose(r, 30)), (1, None)])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, folder)
+        found = got.collect()
+        if name == "encoding":
+            assert len(found) == len(rows) and [x.offsets for x in found if x.doc_id == 100] == [[0]]
+            continue
+        assert got.columns == docs.columns
+        want = 30 + 4 if name == "near_duplicates" else len(rows)  # copies, and all empty texts, are one
+        assert len(found) == want - (name == "near_duplicates") and {tuple(x) for x in found} <= set(rows)
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    none = written(spark, tmp_path / "b", docs.limit(0), [], [])
+    assert corpus_pipeline.run(spark, none).count() == 0

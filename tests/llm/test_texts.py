@@ -128,6 +128,20 @@ def test_ids_equal_the_library(codec):
         assert codec.decode(ids[cuts[i] : cuts[i + 1]]) == text.encode()
 
 
+def test_offsets_let_any_stretch_be_decoded(spark, codec):
+    import public_tokenizers
+    import regex
+
+    texts = [*AWKWARD, "One two,  three's 44 \U0001f600\U0001f600 fünf"]
+    got = bpe.encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bpe.default_vocabulary()).collect()
+    for x in got:
+        pieces = regex.findall(public_tokenizers.PATTERN, texts[x.doc_id])
+        ids, offsets = np.array(x.token_ids, np.int64), np.array(x.offsets)
+        assert len(offsets) == len(pieces) + 1 and offsets[-1] == len(ids)
+        assert [codec.decode(ids, offsets, i, i + 1).decode() for i in range(len(pieces))] == pieces
+        assert codec.decode(ids, offsets, len(pieces) // 2).decode() == "".join(pieces[len(pieces) // 2 :])
+
+
 def test_encoding_rows(spark):
     rows = [(1, "hello world", 5), (1, "hello world", 5), (None, None, 5), (3, "", 5)]
     got = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"), bpe.default_vocabulary()).collect()

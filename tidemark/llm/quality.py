@@ -1,7 +1,7 @@
 """Quality by an interpolated modified Kneser-Ney model over characters, trained on trusted text.
 
-Texts are dealt into blocks by a hash of doc_id and packed before they are shuffled, labels along with them. Each block
-gives the n-grams it holds once, with their counts in trusted text; counts, contexts and probabilities are sharded
+Texts are dealt into blocks by a hash of doc_id and text and packed before they are shuffled, labels along with them; the
+blocks are written once. Each block gives the n-grams it holds once, with their counts in trusted text; counts, contexts and probabilities are sharded
 tables joined on n-grams; each block gets back the probabilities of its own n-grams and scores its documents.
 """
 
@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_of
+from .common import cut, dealt, fresh, table, text_of
 
 ORDER = 4
-#: Code points of a block, about. Blocks follow from the size of all texts.
-BLOCK_CHARS = 6_000_000
+#: Code points of a block, about, and tasks that blocks are dealt to at most. Blocks follow from the size of all texts.
+BLOCK_CHARS, MOST_TASKS = 6_000_000, 8192
 #: Stand before and behind every text (private use). Fixed values.
 BEFORE, BEHIND = "\ue000", "\ue001"
 #: One in so many distinct trusted texts isn't trained on; upper thresholds are quantiles of these.
@@ -97,12 +97,26 @@ class Grams:
         return out
 
 
-def _packed(df: DataFrame, kind: int) -> DataFrame:
+def _apart(batch: pa.RecordBatch, of: np.ndarray, blocks: int) -> np.ndarray:
+    """Blocks of the rows of a batch: the first row of a doc_id and text goes where its label goes, its repetitions, which
+    never are the one row that speaks for a text, anywhere; so no block collects all rows of one id and text."""
+    ids = batch.column(batch.schema.get_field_index("doc_id")).fill_null(0).to_numpy(zero_copy_only=False)
+    keys = batch.column(batch.schema.get_field_index("key")).to_numpy()
+    order = np.lexsort((ids, keys))
+    again = np.append(False, (ids[order][1:] == ids[order][:-1]) & (keys[order][1:] == keys[order][:-1]))
+    of = of.copy()
+    of[order[again]] = (of[order[again]] + 1 + np.arange(int(again.sum()))) % blocks
+    return of
+
+
+def _packed(df: DataFrame, kind: int, blocks: int) -> DataFrame:
     """(block, kind, payload): rows of a batch that share __block, as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = batch.column(0).to_numpy()
+            if kind == 0 and len(of):
+                of = _apart(batch, of, blocks)
             order = np.argsort(of, kind="stable")
             cuts = np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1])) if len(of) else []
             rows = batch.select(range(1, batch.num_columns))
@@ -141,10 +155,12 @@ def _once(docs: DataFrame, trusted: DataFrame) -> DataFrame:
 
 def _blocks(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.length(text_of()).cast("long"))).first()[0] or 0
-    block = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(max(1, math.ceil(size / BLOCK_CHARS)))).alias("__block")
-    doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    texts = docs.select(block, doc_id, _language().alias("lang"), _key().alias("key"), text_of().alias("text"))
-    return _packed(texts, 0).unionByName(_packed(_once(docs, trusted).select(block, "doc_id", "key"), 1))
+    blocks = max(1, math.ceil(size / BLOCK_CHARS))
+    block = F.pmod(F.xxhash64("doc_id", "key"), F.lit(blocks)).alias("__block")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("lang"), _key().alias("key"), text_of().alias("text"))
+    both = _packed(texts.select(block, "*"), 0, blocks).unionByName(_packed(_once(docs, trusted).select(block, "*"), 1, blocks))
+    # written as dealt: both passes over the blocks find them in place, without another shuffle
+    return dealt(both, min(blocks, MOST_TASKS), "block")
 
 
 def _language() -> Column:
@@ -281,10 +297,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that :func:`score` keeps, all their columns. Rows alike in doc_id and text share a verdict."""
-    bad = score(docs, labels).where("NOT keep").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    rows = docs.withColumn("__text", _key())
-    return rows.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")), "left_anti").drop("__text")
+    """The rows of ``docs`` that :func:`score` keeps, all their columns. Rows alike in doc_id and text share a verdict;
+    columns of any name stay as they are."""
+    one, key, text = fresh(docs.columns, "one", "key", "text_key")
+    bad = score(docs, labels).where("NOT keep").select(F.col("doc_id").alias(one), F.col("key").alias(key)).distinct()
+    rows = docs.withColumn(text, _key())
+    return rows.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (F.col(text) == F.col(key)), "left_anti").drop(text)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
