@@ -54,3 +54,42 @@ def policy(rows: list[tuple], size: int, step: int, lag: int, lateness: int = 0,
             stats["windows_fired"] += 1
             out.append((key, s, state[key, s], wm, False, None))
     return {"results": out, "side": side, "stats": stats}
+
+
+def sessions(rows: list[tuple], gap: int, lag: int, lateness: int = 0, ttl: int | None = None) -> dict:
+    """rows as in :func:`policy`. Every arrival goes through all keys' sessions; results carry what they replace."""
+    seen: dict = {}
+    held: dict = {}  # key -> list of [start, end, count, result is out, replaces]
+    fired: set = set()
+    wm, latest, peak = -1, None, 0
+    out, side = [], []
+    for seq, (t, key, ident, _) in enumerate(rows, 1):
+        if ttl is not None and ident is not None:
+            if ident in seen:
+                continue
+            seen[ident] = t
+        latest = t if latest is None else max(latest, t)
+        wm = max(wm, latest - lag)
+        own = held.setdefault(key, [])
+        touched = [s for s in own if s[0] <= t + gap and t <= s[1]]
+        new = [min([t, *(s[0] for s in touched)]), max([t + gap, *(s[1] for s in touched)]), 1 + sum(s[2] for s in touched), False, []]
+        if not touched and (key, new[0], new[1]) in fired:
+            side.append((seq, key, new[0]))
+        else:
+            for s in touched:
+                new[4] += [(s[0], s[1])] if s[3] else s[4]
+                fired.discard((key, s[0], s[1]))
+                own.remove(s)
+            own.append(new)
+        for k in sorted(held):
+            for s in held[k]:
+                if not s[3] and s[1] <= wm:
+                    s[3] = True
+                    fired.add((k, s[0], s[1]))
+                    out.append((k, s[0], s[1], s[2], wm, bool(s[4]), seq, sorted(s[4])))
+            held[k] = [s for s in held[k] if s[1] + lateness > wm]
+        if ttl is not None and wm - ttl >= 0:
+            seen = {i: x for i, x in seen.items() if x >= wm - ttl}
+        peak = max(peak, sum(map(len, held.values())))
+    out += [(k, s[0], s[1], s[2], wm, bool(s[4]), None, sorted(s[4])) for k in held for s in held[k] if not s[3]]
+    return {"results": out, "side": side, "peak": peak}

@@ -4,10 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import model
-from tidemark.functions.windows import Sliding, Tumbling
+from tidemark.functions.windows import Sessions, Sliding, Tumbling
+from tidemark.operators.aggregate import sessions as batch_sessions
 from tidemark.operators.aggregate import totals_by_window
 from tidemark.operators.policy import Policy, in_emission_order, tumbling_count
 from tidemark.operators.watermark import BoundedLag, PercentileLag
+from tidemark.operators.sessions import current
 from tidemark.streaming.replay import Replay
 
 SCHEMA = "seq long, event_time long, key string, value double, event_id long, ingest_time long, is_retry int, bucket long"
@@ -90,6 +92,48 @@ def test_a_shrinking_lag_lets_an_arrival_end_its_own_window(spark, how):
         assert sorted(((r.window_start, int(r.value), r.watermark, r.revision, r.seq) for r in done.results.collect()), key=str) == sorted(out, key=str)
 
 
+def session_results(outcome):
+    return sorted(((r.key, r.window_start, r.window_end, int(r.value), r.watermark, r.revision, r.seq, sorted((x.window_start, x.window_end) for x in r.replaces)) for r in outcome.results.collect()), key=str)
+
+
+@pytest.mark.parametrize("seed,gap,lag,lateness,ttl", [(1, 10, 0, 0, None), (2, 15, 10, 100, 60), (3, 4, 5, 30, 0), (4, 40, 20, 300, 600), (5, 7, 3, 1000, None)])
+def test_sessions_equal_the_sequential_model(spark, seed, gap, lag, lateness, ttl):
+    rows = draw(seed)
+    want = model.sessions(rows, gap, lag, lateness, ttl)
+    got = Policy(Sessions(gap), BoundedLag(lag), "count", lateness, ttl).run(stream(spark, rows))
+    assert session_results(got) == sorted(want["results"], key=str)
+    assert sorted((r.seq, r.key, r.window_start) for r in got.side_output.collect()) == sorted(want["side"])
+    stats = got.stats.first()
+    assert stats.peak_state_entries == want["peak"] and stats.dropped_too_late == len(want["side"])
+    assert stats.windows_fired + stats.revisions == len(want["results"])
+    # whatever is replaced, each arrival counts once in the results that stand
+    assert sum(r.events for r in current(got.results).collect()) == stats.aggregator_updates == stats.processed - stats.dropped_too_late
+
+
+def test_late_arrivals_bridge_sessions(spark):
+    done = Policy(Sessions(100), BoundedLag(1000)).run(simple(spark, 0, 150, 90))
+    assert session_results(done) == [("k", 0, 250, 3, -1, False, None, [])]
+    # without grace the first session has gone when the bridge comes
+    gone = Policy(Sessions(100), BoundedLag(0)).run(simple(spark, 0, 10, 150, 160, 90))
+    assert session_results(gone) == sorted([("k", 0, 110, 2, 150, False, 3, []), ("k", 90, 260, 3, 160, False, None, [])], key=str)
+    kept = Policy(Sessions(100), BoundedLag(0), lateness=500).run(simple(spark, 0, 10, 150, 160, 90))
+    assert session_results(kept) == sorted([("k", 0, 110, 2, 150, False, 3, []), ("k", 0, 260, 5, 160, True, None, [(0, 110)])], key=str)
+    assert [r.events for r in current(kept.results).collect()] == [5]
+    bursts = Policy(Sessions(60), BoundedLag(0)).run(simple(spark, 0, 5, 1000, 1005, 5000))
+    assert [x[1:4] for x in session_results(bursts)] == [(0, 65, 2), (1000, 1065, 2), (5000, 5060, 1)]
+    again = Policy(Sessions(10), BoundedLag(0)).run(simple(spark, 5, 500, 5, 5))
+    assert sorted((r.seq, r.window_start) for r in again.side_output.collect()) == [(3, 5), (4, 5)]
+    assert Policy(Sessions(10), BoundedLag(0)).run(simple(spark).limit(0)).results.count() == 0
+
+
+@pytest.mark.parametrize("how", ["sum", "mean", "minmax", "distinct"])
+def test_sessions_take_any_aggregate(spark, how):
+    rows = stream(spark, draw(9, 100)).withColumn("value", F.col("seq") / 8)
+    done = Policy(Sessions(20), BoundedLag(10_000), how).run(rows).results
+    pick = lambda df: sorted(map(str, df.select("key", "window_start", "window_end", "value", "events").collect()))
+    assert pick(done) == pick(batch_sessions(rows, Sessions(20), how))
+
+
 def test_ingest_domain_never_drops(spark):
     rows = draw(5)
     want = model.policy(rows, 60, 60, 0, 0, None, "ingest")

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ..functions.aggregates import Mergeable, aggregate
 from ..functions.lineage import cut
 from ..functions.prefix import number, running_sum
-from ..functions.windows import Sliding, Tumbling, pane_width
+from ..functions.windows import Sessions, Sliding, Tumbling, pane_width
 from .dedup import expired, mark_kept
+from .sessions import SessionOutcome
 from .watermark import BoundedLag, PercentileLag
 
 RESULT = ["key", "window_start", "window_end", "value", "events", "watermark", "revision", "seq"]
@@ -34,7 +35,7 @@ class Policy:
     results are the same. All results are DataFrames made from one input, :meth:`run`.
     """
 
-    windows: Tumbling | Sliding
+    windows: Tumbling | Sliding | Sessions
     watermark: BoundedLag | PercentileLag
     how: str | Mergeable = "count"
     lateness: int = 0
@@ -54,10 +55,12 @@ class Policy:
         if self.dedup_ttl is not None and isinstance(self.watermark, PercentileLag):
             raise ValueError("duplicates would count as delays: deduplicate first, then estimate the lag")
 
-    def run(self, arrivals: DataFrame) -> Outcome:
+    def run(self, arrivals: DataFrame) -> Outcome | SessionOutcome:
         marked = mark_kept(self.watermark.apply(arrivals), self.dedup_ttl)
         # several results need these rows, and their order costs a sort: made once
         marked = cut(marked.select("seq", "event_time", "key", "value", "event_id", "ingest_time", "wm", "wm_before", "kept"))
+        if isinstance(self.windows, Sessions):  # always by event time
+            return SessionOutcome(self, marked)
         kept = marked.where("kept")
         time = F.col("event_time" if self.domain == "event" else "ingest_time")
         placed = kept.withColumn("window_start", F.explode(self.windows.starts(time))).withColumn("window_end", F.col("window_start") + self.windows.size)

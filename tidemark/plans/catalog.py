@@ -204,6 +204,36 @@ def totals_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agg.totals_by_window(_policy().run(source.arrivals(spark, sf_dir)).results)
 
 
+#: Sessions of each user, arrival by arrival: one step of the recursion per arrival of a user. A state holds start, end, number,
+#: the arrival that made it, and whether it grew out of one that had a result; a state that an arrival replaces ends there.
+_SESSIONS_SQL = f"""WITH RECURSIVE {_marked(LAG, TTL).strip()},
+own AS MATERIALIZED (SELECT user_id AS key, seq, event_time AS t, wm, wm_before, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM marked WHERE kept),
+steps AS (
+  SELECT DISTINCT key, 0::BIGINT AS k, NULL::BIGINT AS made, NULL::BIGINT AS s, NULL::BIGINT AS e, NULL::BIGINT AS n, NULL::BIGINT AS wm, NULL::BIGINT AS found, false AS again,
+    []::BIGINT[] AS touched, []::STRUCT(s BIGINT, e BIGINT, n BIGINT, made BIGINT, again BOOLEAN)[] AS held FROM own
+  UNION ALL
+  SELECT key, k, seq, s, e, n, wm, wm_before, again, list_transform(hit, lambda x: x.made), list_append(list_filter(alive, lambda x: NOT list_contains(list_transform(hit, lambda y: y.made), x.made)), {{'s': s, 'e': e, 'n': n, 'made': seq, 'again': again}})
+  FROM (
+    SELECT *, least(t, coalesce(list_min(list_transform(hit, lambda x: x.s)), t)) AS s, greatest(t + {GAP}, coalesce(list_max(list_transform(hit, lambda x: x.e)), 0)) AS e,
+      (1 + coalesce(list_sum(list_transform(hit, lambda x: x.n)), 0))::BIGINT AS n, len(list_filter(hit, lambda x: x.again OR x.e <= wm_before)) > 0 AS again
+    FROM (SELECT *, list_filter(alive, lambda x: x.s <= t + {GAP} AND t <= x.e) AS hit
+      FROM (SELECT o.*, list_filter(steps.held, lambda x: x.e + {GRACE} > o.wm_before) AS alive FROM steps JOIN own o ON o.key = steps.key AND o.k = steps.k + 1)))
+), states AS (SELECT * FROM steps WHERE k > 0),
+replaced AS (SELECT key, unnest(touched) AS made, found AS gone FROM states),
+ends AS (SELECT DISTINCT e FROM states), moves AS (SELECT wm, min(seq) AS seq FROM marked WHERE kept GROUP BY wm),
+crossings AS (SELECT x.e, m.seq AS cross_seq, m.wm AS cross_wm FROM ends x ASOF LEFT JOIN moves m ON m.wm >= x.e)"""
+
+
+@query(f"""{_SESSIONS_SQL}
+SELECT key, s AS window_start, e AS window_end, n::DOUBLE AS value, n AS events, CASE WHEN e <= wm THEN wm ELSE coalesce(cross_wm, (SELECT max(wm) FROM marked WHERE kept)) END AS watermark,
+  again AS revision, CASE WHEN e <= wm THEN made ELSE cross_seq END AS seq
+FROM states LEFT JOIN replaced USING (key, made) JOIN crossings USING (e) WHERE e <= wm OR gone IS NULL OR e <= gone""")
+def sessions_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users as arrivals come: first results, and revisions where a late arrival extends or joins them."""
+    rows = source.arrivals(spark, sf_dir).withColumn("key", F.col("user_id"))
+    return Policy(Sessions(GAP), BoundedLag(LAG), "count", GRACE, TTL).run(rows).results.drop("replaces")
+
+
 LATENESSES, LAGS = (0, 21600, 43200, 86400), (0, 600, 1800, 86400)
 _COUNTS = "count(*) FILTER (NOT too_late)::BIGINT AS accepted, count(*) FILTER (late AND NOT too_late)::BIGINT AS late_but_accepted, count(*) FILTER (too_late)::BIGINT AS dropped_too_late"
 
@@ -269,7 +299,20 @@ def _zipf_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select(F.expr(f"CAST({_ZIPF} AS STRING)").alias("key"), F.col("event_id").alias("seq"))
 
 
-@query()
+#: The counters after each event: one step of the recursion per event.
+_SKETCH_SQL = f"""WITH RECURSIVE stream AS MATERIALIZED (SELECT {_ZIPF}::VARCHAR AS key, row_number() OVER (ORDER BY event_id) AS k FROM events),
+steps AS (
+  SELECT 0::BIGINT AS k, []::STRUCT(c BIGINT, key VARCHAR, e BIGINT)[] AS held
+  UNION ALL
+  SELECT s.k, CASE WHEN len(list_filter(held, lambda x: x.key = s.key)) > 0 THEN list_transform(held, lambda x: CASE WHEN x.key = s.key THEN {{'c': x.c + 1, 'key': x.key, 'e': x.e}} ELSE x END)
+    WHEN len(held) < {CAPACITY} THEN list_append(held, {{'c': 1::BIGINT, 'key': s.key, 'e': 0::BIGINT}})
+    ELSE list_append(list_sort(held)[2:], {{'c': list_sort(held)[1].c + 1, 'key': s.key, 'e': list_sort(held)[1].c}}) END
+  FROM steps JOIN stream s ON s.k = steps.k + 1
+), sketch AS (SELECT x.key, x.c AS count, x.e AS error FROM (SELECT unnest(held) AS x FROM (SELECT held FROM steps ORDER BY k DESC LIMIT 1))),
+counts AS (SELECT key, count(*) AS true_count FROM stream GROUP BY key)"""
+
+
+@query(f"{_SKETCH_SQL} SELECT key, count, error, (SELECT count(*) FROM stream) AS total FROM sketch")
 def space_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.space_saving(_zipf_stream(spark, sf_dir), CAPACITY)
 
@@ -279,7 +322,21 @@ def mergeable_space_saving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy.mergeable_sketch(_zipf_stream(spark, sf_dir), CAPACITY)
 
 
-@query("SELECT 0::BIGINT AS keys_out_of_bounds, 0::BIGINT AS frequent_keys_missed")
+@query(f"SELECT {_ZIPF}::VARCHAR AS key, count(*) AS true_count, true AS held, true AS within_bounds FROM events GROUP BY 1 HAVING count(*) * {CAPACITY} > (SELECT count(*) FROM events)")
+def mergeable_space_saving_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a merged summary promises, whatever the parts were: a counter for every key above 1/capacity, and
+    count - error <= true count <= count."""
+    stream = _zipf_stream(spark, sf_dir)
+    counts = stream.groupBy("key").agg(F.count(F.lit(1)).alias("true_count"))
+    total = stream.agg(F.count(F.lit(1)).alias("n"))
+    often = counts.join(F.broadcast(total)).where(F.col("true_count") * CAPACITY > F.col("n"))  # total: one row
+    both = often.join(heavy.mergeable_sketch(stream, CAPACITY), "key", "left")
+    within = (F.col("count") - F.col("error") <= F.col("true_count")) & (F.col("true_count") <= F.col("count"))
+    return both.select("key", "true_count", F.col("count").isNotNull().alias("held"), F.coalesce(within, F.lit(False)).alias("within_bounds"))
+
+
+@query(f"""{_SKETCH_SQL} SELECT count(*) FILTER (true_count > count OR count - error > true_count) AS keys_out_of_bounds,
+  count(*) FILTER (true_count * {CAPACITY} > (SELECT count(*) FROM stream) AND count IS NULL) AS frequent_keys_missed FROM counts LEFT JOIN sketch USING (key)""")
 def space_saving_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many counters break count - error <= true <= count, and how many keys above 1/capacity have none: none ever."""
     stream = _zipf_stream(spark, sf_dir)
@@ -290,7 +347,9 @@ def space_saving_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count(F.when(wrong, 1)).alias("keys_out_of_bounds"), F.count(F.when((F.col("true") > F.col("n") / CAPACITY) & F.col("count").isNull(), 1)).alias("frequent_keys_missed"))
 
 
-@query()
+@query(f"""{_SKETCH_SQL}, best AS (SELECT key FROM counts ORDER BY true_count DESC, key LIMIT {TOP}), seen AS (SELECT key, count FROM sketch ORDER BY count DESC, key LIMIT {TOP})
+SELECT count(best.key) / (SELECT count(*) FROM best) AS overlap, max(abs(count - true_count) / true_count)::DOUBLE AS worst_relative_error, (SELECT count(*) FROM counts) AS distinct_keys
+FROM seen JOIN counts USING (key) LEFT JOIN best USING (key)""")
 def topk_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = _zipf_stream(spark, sf_dir)
     return heavy.topk_agreement(stream, heavy.space_saving(stream, CAPACITY), TOP)
