@@ -27,6 +27,8 @@ COORDINATES, ROWS, BANDS = 128, 7, 64
 #: Documents of a group, and bytes of their shingles, that one task compares at most, about: a larger group is cut into
 #: tiles, and a pair of tiles is a task.
 TILE, TILE_BYTES = 1000, 16 << 20
+#: Groups whose sizes are broadcast at most; those of more groups are joined.
+MOST_GROUPS = 100_000
 
 
 def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -243,8 +245,7 @@ def _compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
 
 def _stars(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): members that are similar to their leader. One pair of sets per member; JVM functions alone."""
-    sizes = members.where("node = leader").select("leader", F.col("n").alias("m"))
-    pairs = members.where("node <> leader").join(sizes, "leader").where("5 * least(n, m) >= 4 * greatest(n, m)").select("leader", "node")
+    pairs = members.where("node <> leader AND 5 * least(n, m) >= 4 * greatest(n, m)").select("leader", "node")
     own = pairs.join(sets, "node").withColumnRenamed("items", "own")
     both = own.join(sets.select(F.col("node").alias("leader"), "items"), "leader")
     common = F.size(F.array_intersect("own", "items"))
@@ -258,6 +259,9 @@ def _rest(members: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     whole = parts.groupBy("leader").agg(F.max(F.struct("c", "root", "w")).alias("big"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k")).where("k > 1")
     tiles = lambda c, w: F.greatest(F.ceil(c / TILE), F.ceil(w * 8 / TILE_BYTES), F.lit(1)).cast("int")
     sized = whole.select("leader", F.col("big.root").alias("most"), tiles(F.col("big.c"), F.col("big.w")).alias("many"), tiles(F.col("c") - F.col("big.c"), F.col("w") - F.col("big.w")).alias("few"))
+    sized = cut(sized)
+    if sized.count() <= MOST_GROUPS:  # else a join by leader, in which large partitions can be split
+        sized = F.broadcast(sized)
     placed = rest.join(sized, "leader").withColumn("side", (F.col("root") != F.col("most")).cast("int"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("node", "leader"), F.when(F.col("side") == 0, F.col("many")).otherwise(F.col("few"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -301,8 +305,8 @@ def classes(docs: DataFrame) -> DataFrame:
     slim = cut(texts.mapInArrow(_sketches, "doc_id long, key long, node long, n long, bands array<long>"))
     once = slim.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     rows = cut(once.select("node", "n", F.explode("bands").alias("bucket")))
-    leaders = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "leader")
-    members = cut(rows.join(leaders, "bucket").select("leader", "node", "n").distinct())
+    leaders = rows.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", F.col("first.node").alias("leader"), F.col("first.n").alias("m"))
+    members = cut(rows.join(leaders, "bucket").select("leader", "m", "node", "n").distinct())
     sets = cut(_sets(docs, members.select("node").distinct()))
     edges = cut(_stars(members, sets))
     roots = cut(components(edges))
