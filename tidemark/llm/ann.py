@@ -111,25 +111,58 @@ class Survivors:
         self.highs = np.partition(both, self.k - 1, axis=1)[:, : self.k]
         self.far = self.highs.max(1)
         q, c = np.nonzero((low <= self.far[:, None]) & ~own)
-        self.found.append((q, rows[c], ids[c], same[c], low[q, c]))
+        self.found.append((q, rows[c], ids[c], same[c], low[q, c], high[q, c]))
         self.held += len(q)
         if self.held > PAIRS:
             self.thin()
 
     def thin(self) -> None:
-        q, rows, ids, same, low = (np.concatenate(x) for x in zip(*self.found, strict=True))
-        fine = low <= self.far[q]
-        q, rows, ids, same, low = q[fine], rows[fine], ids[fine], same[fine], low[fine]
-        order = np.lexsort((rows, ids, same, q))
-        q, rows, ids, same, low = q[order], rows[order], ids[order], same[order], low[order]
+        columns = [np.concatenate(x) for x in zip(*self.found, strict=True)]
+        fine = columns[4] <= self.far[columns[0]]
+        columns = [x[fine] for x in columns]
+        order = np.lexsort((columns[1], columns[2], columns[3], columns[0]))
+        columns = [x[order] for x in columns]
+        q, same = columns[0], columns[3]
         first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (same[1:] != same[:-1]))) if len(q) else np.empty(0, int)
         fine = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < self.k
-        self.found, self.held = [(q[fine], rows[fine], ids[fine], same[fine], low[fine])], int(fine.sum())
+        self.found, self.held = [tuple(x[fine] for x in columns)], int(fine.sum())
 
     def pairs(self) -> pa.RecordBatch:
         self.thin()
-        q, rows, ids, _, _ = self.found[0]
-        return pa.RecordBatch.from_arrays([pa.array(self.rows[q], pa.int64()), pa.array(self.ids[q], pa.int64()), pa.array(rows, pa.int64()), pa.array(ids, pa.int64())], names=["query_row", "query_id", "row", "vec_id"])
+        q, rows, ids, _, low, high = self.found[0]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (self.rows[q], self.ids[q], rows, ids)] + [pa.array(low), pa.array(high)], names=_PAIR_NAMES)
+
+
+_PAIR_NAMES = ["query_row", "query_id", "row", "vec_id", "low", "high"]
+_PAIRS = "query_row long, query_id long, row long, vec_id long, low double, high double"
+
+
+def _closest(pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs that may still be among the query's ``k`` nearest when all groups' bounds are known: those whose lower
+    bound is not beyond the k-th upper one. A query's pairs, some per group, meet in order, one query at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            of = table.column(0).to_numpy()
+            begin = int(np.searchsorted(of, of[-1])) if len(of) else 0
+            yield from few(table.slice(0, begin))
+            rest = table.slice(begin)
+        if rest is not None:
+            yield from few(rest)
+
+    def few(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        of, low, high = (table.column(i).to_numpy() for i in (0, 4, 5))
+        order = np.lexsort((high, of))
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        counts = np.diff(np.append(first, len(of)))
+        limit = np.where(counts >= k, high[order][np.minimum(first + k - 1, len(of) - 1)], np.inf)
+        yield from table.filter(pa.array(low <= np.repeat(limit, counts))).to_batches()
+
+    return pairs.repartition("query_row").sortWithinPartitions("query_row").mapInArrow(run, _PAIRS)
 
 
 def distance(a: str, b: str) -> Column:
@@ -207,7 +240,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                         left.meet(*tile)
                     yield left.pairs()
 
-    pairs = together.mapInArrow(run, "query_row long, query_id long, row long, vec_id long")
+    pairs = _closest(together.mapInArrow(run, _PAIRS), k)
     pairs = pairs.join(asked.select(F.col("row").alias("query_row"), F.col("v").alias("q")), "query_row").select("query_id", "q", "row", "vec_id")
     return nearest(pairs.join(held.select("row", "v"), "row").select("query_id", "vec_id", distance("q", "v").alias("score")), k)
 
