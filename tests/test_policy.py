@@ -169,16 +169,66 @@ def test_guards():
         PercentileLag(0.3)
 
 
-@pytest.mark.parametrize("ttl", [40])
-def test_batches_give_what_one_run_gives_also_after_a_restart(spark, tmp_path, ttl):
+def naive(rows, windows, mark, lateness=0, ttl=None, domain="event"):
+    """Counts per arrival for any watermark and domain, in plain Python: results and which arrivals are kept."""
+    seen, state, fired, out, kept, delays, wm, latest = {}, {}, set(), [], [], [], -1, None
+    for seq, (t, key, ident, g) in enumerate(rows, 1):
+        at = t if domain == "event" else g
+        if ttl is not None and ident in seen:
+            continue
+        if ttl is not None:
+            seen[ident] = at
+        kept.append(seq)
+        latest = t if latest is None else max(latest, t)
+        if isinstance(mark, PercentileLag):
+            delays = [*delays, max(g - t, 0)][-mark.window :]
+            lag = max(sorted(delays)[min(int(mark.percentile * len(delays)), len(delays) - 1)], mark.minimum_lag)
+        else:
+            lag = mark.lag
+        wm = max(wm, latest - lag)
+        for s in model.starts(at, windows.size, windows.step):
+            if s + windows.size + lateness > wm:
+                state[key, s] = state.get((key, s), 0) + 1
+                out += [(key, s, state[key, s], wm, True, seq)] if (key, s) in fired else []
+        for k in [k for k in state if k not in fired and k[1] + windows.size <= wm]:
+            fired.add(k)
+            out.append((*k, state[k], wm, False, seq))
+        if ttl is not None and wm - ttl >= 0:
+            seen = {i: x for i, x in seen.items() if x >= wm - ttl}
+    return out + [(*k, n, wm, False, None) for k, n in state.items() if k not in fired], kept
+
+
+@pytest.mark.parametrize("mark,ttl,domain", [(PercentileLag(0.8, 9, 3), 40, "event"), (PercentileLag(0.6, 5, 1), 0, "event"), (PercentileLag(0.9, 30, 2), 10_000, "event"), (BoundedLag(0), 30, "ingest"), (PercentileLag(0.7, 9, 1), 60, "ingest")])
+def test_duplicates_under_any_watermark_and_domain(spark, mark, ttl, domain):
+    rows = [(t, k, e, max(g - 1000, t)) for t, k, e, g in draw(11, 150)]
+    want, kept = naive(rows, Sliding(60, 30), mark, 50, ttl, domain)
+    got = Policy(Sliding(60, 30), mark, "count", 50, ttl, domain).run(stream(spark, rows))
+    assert sorted(r.seq for r in got.marked.where("kept").collect()) == kept
+    assert results(got) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("ttl,mark,ids", [(40, BoundedLag(10), "long"), (40, BoundedLag(10), "string"), (None, PercentileLag(0.8, 9, 3), "long"), (None, PercentileLag(0.9, 200, 1), "long")])
+def test_batches_give_what_one_run_gives_also_after_a_restart(spark, tmp_path, ttl, mark, ids):
     rows = draw(6, 90)
-    policy = Policy(Sliding(60, 20), BoundedLag(10), "sum", 60, ttl)
+    policy = Policy(Sliding(60, 20), mark, "sum", 60, ttl)
     whole = stream(spark, rows)
+    if ids == "string":  # as wide as each other, so that they sort as numbers do
+        whole = whole.withColumn("event_id", F.format_string("%05d", "event_id"))
     want = policy.run(whole)
-    for i in range(3):  # a new object each time: all state is in the folder; the second batch runs twice
+    for i in range(4):  # a new object each time: all state is in the folder; the second batch runs twice, the third is empty
+        own = whole.where((F.col("seq") > 30 * min(i, 2)) & (F.col("seq") <= 30 * min(i, 2) + 30)) if i != 2 else whole.limit(0)
         for _ in range(2 if i == 1 else 1):
-            Replay(spark, policy, str(tmp_path)).process(whole.where((F.col("seq") > 30 * i) & (F.col("seq") <= 30 * i + 30)).drop("seq", "bucket"), i)
+            Replay(spark, policy, str(tmp_path)).process(own.drop("seq", "bucket"), i)
     done = Replay(spark, policy, str(tmp_path))
     pick = lambda df: sorted(map(str, df.select("key", "window_start", "window_end", "value", "events", "watermark", "revision", "seq").collect()))
     assert pick(done.results().unionByName(done.flushed())) == pick(want.results)
     assert sorted(map(str, done.side_output().select("seq", "window_start").collect())) == sorted(map(str, want.side_output.select("seq", "window_start").collect()))
+    assert done.stats().first().asDict() == want.stats.first().asDict()
+    with pytest.raises(ValueError, match="policy"):
+        Replay(spark, Policy(Sliding(60, 20), mark, "sum", 61, ttl), str(tmp_path)).process(whole.drop("seq", "bucket"), 9)
+
+
+def test_what_batches_cannot_carry(spark, tmp_path):
+    for policy in (Policy(Sessions(5), BoundedLag(0)), Policy(Tumbling(5), PercentileLag(), dedup_ttl=5), Policy(Tumbling(5), BoundedLag(1), dedup_ttl=5, domain="ingest")):
+        with pytest.raises(ValueError, match="Policy.run"):
+            Replay(spark, policy, str(tmp_path))

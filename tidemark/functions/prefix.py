@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 
 @dataclass(frozen=True)
 class Running:
@@ -34,14 +36,17 @@ class Running:
 
 
 def running(df: DataFrame, bucket: str, order: list, wanted: dict[str, Running]) -> DataFrame:
-    """``df`` with running values; one shuffle, by bucket, and one sort for all of them."""
+    """``df`` with running values; one shuffle, by bucket, and one sort for all of them. Names of ``df``'s columns that are
+    wanted anew are replaced, other columns stay whatever their names."""
+    names = fresh([*df.columns, *wanted], *[f"{x}_{n}" for n in wanted for x in ("all", "before", "own")])
+    whole_as, before_as, own_as = ({n: names[3 * i + k] for i, n in enumerate(wanted)} for k in range(3))
     earlier = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
-    whole = df.groupBy(bucket).agg(*[r.whole().alias(f"__all_{n}") for n, r in wanted.items()])
-    offsets = whole.select(bucket, *[r.of_summaries(f"__all_{n}", earlier).alias(f"__before_{n}") for n, r in wanted.items()])
+    whole = df.groupBy(bucket).agg(*[r.whole().alias(whole_as[n]) for n, r in wanted.items()])
+    offsets = whole.select(bucket, *[r.of_summaries(whole_as[n], earlier).alias(before_as[n]) for n, r in wanted.items()])
     frame = lambda r: Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if r.inclusive else -1)
-    rows = df.withColumns({f"__own_{n}": r.over(frame(r)) for n, r in wanted.items()}).join(offsets, bucket)
-    done = rows.withColumns({n: r.combine(F.col(f"__own_{n}"), F.col(f"__before_{n}")) for n, r in wanted.items()})
-    return done.drop(*[f"__{x}_{n}" for n in wanted for x in ("own", "before")])
+    rows = df.withColumns({own_as[n]: r.over(frame(r)) for n, r in wanted.items()}).join(offsets, bucket)
+    done = rows.withColumns({n: r.combine(F.col(own_as[n]), F.col(before_as[n])) for n, r in wanted.items()})
+    return done.drop(*own_as.values(), *before_as.values())
 
 
 def bucket_width(df: DataFrame, time: str, most_rows: int = 1 << 20) -> int:

@@ -19,7 +19,7 @@ from ..functions.aggregates import Mergeable, aggregate
 from ..functions.lineage import cut
 from ..functions.prefix import number, running_sum
 from ..functions.windows import Sessions, Sliding, Tumbling, pane_width
-from .dedup import expired, mark_kept
+from .dedup import expired, mark_kept, settle
 from .sessions import SessionOutcome
 from .watermark import BoundedLag, PercentileLag
 
@@ -50,19 +50,23 @@ class Policy:
             raise ValueError(f"the time domain is 'event' or 'ingest', not {self.domain!r}")
         if self.lateness < 0:
             raise ValueError("allowed lateness must not be negative")
-        if self.dedup_ttl is not None and self.domain == "ingest":
-            raise ValueError("copies share no ingest time: deduplicate by event time")
-        if self.dedup_ttl is not None and isinstance(self.watermark, PercentileLag):
-            raise ValueError("duplicates would count as delays: deduplicate first, then estimate the lag")
+
+    @property
+    def time(self) -> str:
+        """The column of the time domain."""
+        return "event_time" if self.domain == "event" else "ingest_time"
 
     def run(self, arrivals: DataFrame) -> Outcome | SessionOutcome:
-        marked = mark_kept(self.watermark.apply(arrivals), self.dedup_ttl)
+        if self.dedup_ttl is not None and isinstance(self.watermark, PercentileLag):
+            marked = settle(arrivals, self.watermark, self.dedup_ttl, self.time)
+        else:
+            marked = mark_kept(self.watermark.apply(arrivals), self.dedup_ttl, self.time)
         # several results need these rows, and their order costs a sort: made once
         marked = cut(marked.select("seq", "event_time", "key", "value", "event_id", "ingest_time", "wm", "wm_before", "kept"))
         if isinstance(self.windows, Sessions):  # always by event time
             return SessionOutcome(self, marked)
         kept = marked.where("kept")
-        time = F.col("event_time" if self.domain == "event" else "ingest_time")
+        time = F.col(self.time)
         placed = kept.withColumn("window_start", F.explode(self.windows.starts(time))).withColumn("window_end", F.col("window_start") + self.windows.size)
         placed = placed.withColumn("too_late", F.col("window_end") + self.lateness <= F.col("wm")).withColumn("late", F.col("window_end") <= F.col("wm"))
         return Outcome(self, marked, placed)
@@ -117,7 +121,7 @@ class Outcome:
         if not p.panes:
             early = self.placed.where("NOT late").groupBy(*by).agg(*agg.of_rows(), n)
         else:  # a pane per width and first window that was open then
-            pane, time = pane_width(p.windows.size, p.windows.step), F.col("event_time" if p.domain == "event" else "ingest_time")
+            pane, time = pane_width(p.windows.size, p.windows.step), F.col(p.time)
             opened = F.filter(p.windows.starts(time), lambda s: s + p.windows.size > F.col("wm"))
             rows = self.marked.where("kept").withColumn("opened", opened).where(F.size("opened") > 0)
             panes = rows.groupBy("key", (F.floor(time / pane) * pane).cast("long").alias("pane"), F.get("opened", F.lit(0)).alias("from")).agg(*agg.of_rows(), n)
@@ -158,7 +162,7 @@ class Outcome:
         )
         emitted = self.results.agg(F.count(F.when(~F.col("revision"), 1)).alias("windows_fired"), F.count(F.when(F.col("revision"), 1)).alias("revisions"))
         out = arrivals
-        for part in (places, emitted, expired(self.marked, p.dedup_ttl), self._peak()):
+        for part in (places, emitted, expired(self.marked, p.dedup_ttl, p.time), self._peak()):
             out = out.join(F.broadcast(part))  # one row each
         return out.select("processed", "duplicates_dropped", "dedup_expired", "late_but_accepted", "dropped_too_late", "windows_fired", "revisions", "aggregator_updates", "peak_state_entries")
 

@@ -179,7 +179,7 @@ class SessionOutcome:
         steps = self.steps.agg(F.lit(0).cast("long").alias("late_but_accepted"), F.count(F.when(F.col("aside"), 1)).alias("dropped_too_late"), F.count(F.when(~F.col("aside"), 1)).alias("aggregator_updates"))
         emitted = self.results.agg(F.count(F.when(~F.col("revision"), 1)).alias("windows_fired"), F.count(F.when(F.col("revision"), 1)).alias("revisions"))
         out = counts
-        for part in (steps, emitted, expired(self.marked, self.policy.dedup_ttl), self._peak()):
+        for part in (steps, emitted, expired(self.marked, self.policy.dedup_ttl, self.policy.time), self._peak()):
             out = out.join(F.broadcast(part))  # one row each
         return out.select("processed", "duplicates_dropped", "dedup_expired", "late_but_accepted", "dropped_too_late", "windows_fired", "revisions", "aggregator_updates", "peak_state_entries")
 

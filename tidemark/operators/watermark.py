@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
 from ..functions.prefix import Running, running, running_max
 
 #: What the watermark is before anything has passed.
@@ -52,34 +53,38 @@ class PercentileLag:
         if self.window < 1:
             raise ValueError("the window must hold an arrival")
 
-    def apply(self, arrivals: DataFrame) -> DataFrame:
-        """``arrivals`` with estimated_lag, wm and wm_before. ``seq`` must count from 1 without gaps."""
+    def apply(self, arrivals: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """``arrivals`` with estimated_lag, wm and wm_before. ``seq`` must count without gaps, from 1 or, where ``before``
+        (seq, delay) holds the last arrivals before these, on from there."""
         size = max(self.rows_per_task, self.window)
-        delayed = arrivals.withColumn("__delay", F.greatest(F.col("ingest_time") - F.col("event_time"), F.lit(0)))
-        part = F.expr(f"(seq - 1) div {size}")
-        follows = F.expr(f"(seq + {self.window - 1} - 1) div {size}")
-        spread = delayed.withColumn("__part", F.explode(F.array_distinct(F.array(part, follows)))).withColumn("__own", F.col("__part") == part)
+        part_as, own_as, delay_as = fresh(arrivals.columns, "part", "own", "delay")
+        part, follows = F.expr(f"(seq - 1) div {size}"), F.expr(f"(seq + {self.window - 1} - 1) div {size}")
+        rows = arrivals.withColumn(delay_as, F.greatest(F.col("ingest_time") - F.col("event_time"), F.lit(0)).cast("long")).withColumn(own_as, F.lit(True))
+        if before is not None:
+            rows = rows.unionByName(before.select("seq", F.col("delay").alias(delay_as), F.lit(False).alias(own_as)), allowMissingColumns=True)
+        spread = rows.withColumn(part_as, F.explode(F.array_distinct(F.array(part, follows)))).withColumn(own_as, F.col(own_as) & (F.col(part_as) == part))
         percentile, most, least = self.percentile, self.window, self.minimum_lag
 
         def estimate(rows: pa.Table) -> pa.Table:
             rows = rows.sort_by("seq")
             held, found = [], []
-            delays = rows.column("__delay").to_pylist()
+            delays = rows.column(delay_as).to_pylist()
             for i, d in enumerate(delays):  # one delay comes, one goes: the rest stays sorted
                 bisect.insort(held, d)
                 if i >= most:
                     del held[bisect.bisect_left(held, delays[i - most])]
                 found.append(max(held[min(int(percentile * len(held)), len(held) - 1)], least))
-            return rows.append_column("estimated_lag", pa.array(found, pa.int64())).filter(rows.column("__own")).select([*names, "estimated_lag"])
+            return rows.append_column("estimated_lag", pa.array(found, pa.int64())).filter(rows.column(own_as)).select([*names, "estimated_lag"])
 
         names = arrivals.columns
-        lagged = spread.groupBy("__part").applyInArrow(estimate, arrivals.withColumn("estimated_lag", F.lit(0).cast("long")).schema)
+        lagged = spread.groupBy(part_as).applyInArrow(estimate, arrivals.withColumn("estimated_lag", F.lit(0).cast("long")).schema)
         if "latest" not in lagged.columns:
             lagged = running_max(lagged, "bucket", "seq", "event_time", "latest")
-        timed = lagged.withColumn("__at", F.col("latest") - F.col("estimated_lag"))
-        run = running(timed, "bucket", ["seq"], {"__wm": Running("max", "__at"), "__wm_before": Running("max", "__at", inclusive=False)})
-        at = lambda c: F.greatest(F.lit(NONE).cast("long"), F.coalesce(F.col(c), F.lit(NONE).cast("long")))
-        return run.withColumns({"wm": at("__wm"), "wm_before": at("__wm_before")}).drop("__at", "__wm", "__wm_before")
+        (at_as,) = fresh(lagged.columns, "at")
+        timed = lagged.withColumn(at_as, F.col("latest") - F.col("estimated_lag"))
+        run = running(timed, "bucket", ["seq"], {"wm": Running("max", at_as), "wm_before": Running("max", at_as, inclusive=False)})
+        none = F.lit(NONE).cast("long")
+        return run.withColumns({c: F.greatest(none, F.coalesce(c, none)) for c in ("wm", "wm_before")}).drop(at_as)
 
 
 WATERMARKS = {"bounded": BoundedLag, "percentile": PercentileLag}
