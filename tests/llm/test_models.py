@@ -423,6 +423,18 @@ def test_what_is_shared_by_few_pages_or_repeats_stays_text():
     assert html.extract(copies[0], html.Wrapper(*read_host(copies))) == "Title 1\nBold & text 1\nSecond paragraph, with a link é."
 
 
+def test_titles_and_pages_of_rare_make():
+    pages, want = neutral_pages(random.Random(15), 60)
+    site = '<div class="top"><h1>The Paper</h1></div>'
+    pages = [p.replace("<body>", f"<body>{site}") for p in pages]
+    rare = f'<body>{site}<section><h1>An odd page</h1></section><table><tr><td class="q"><p>It is made quite unlike the rest of the pages here.</p><p>So it is judged by itself.</p></td></tr></table></body>'
+    wrapper = html.Wrapper(*read_host([*pages, rare]))
+    got = [html.extract(p, wrapper).replace("Written with care for readers like you.\n", "") for p in pages]
+    assert got == want
+    assert html.extract(rare, wrapper).endswith("It is made quite unlike the rest of the pages here.\nSo it is judged by itself.")
+    assert "The Paper" not in html.extract(rare, wrapper)
+
+
 def test_wrappers_do_not_depend_on_how_they_are_spread(spark, monkeypatch):
     pages, _ = neutral_pages(random.Random(10), 30)
     rows = [(i, f"http://h{i % 3}.example.com/", p) for i, p in enumerate([*pages, *(page(i, rest="<p>More of it here.</p>" * (i % 3)) for i in range(30))])]

@@ -189,6 +189,32 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert decontamination.matches(table, bench.limit(0)).count() == 0 and decontamination.matches(table.limit(0), bench).count() == 0
 
 
+def test_matches_equal_aligning_every_pair(spark):
+    """Every document against every item by the textbook; a match needs a seed in common, an alignment of enough score holds one here."""
+    r = random.Random(31)
+    words = [f"{a}{b}" for a in WORDS[:60] for b in "xyz"]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.randint(8, 50)))) for i in range(12)]
+    docs = []
+    for i in range(90):
+        _, text = items[i % 12]
+        own = text.split()[: r.randint(4, 60)]
+        for _ in range(r.choice([0, 1, 3, 6])):
+            at, what = r.randrange(len(own)), r.choice("edit drop add".split())
+            own[at : at + 1] = {"edit": ["zzz"], "drop": [], "add": [own[at], "zzz"]}[what] if len(own) > 1 else own
+        docs.append((i, " ".join(r.choice(words) for _ in range(r.randint(0, 300))) + " " + " ".join(own) + " " + " ".join(r.choice(words) for _ in range(r.randint(0, 40)))))
+    want = {}
+    for d, text in docs:
+        w = words_of([text])
+        grams = set(w.grams(decontamination.SEED)[0].tolist())
+        for i, item in items:
+            own = words_of([item])
+            score = decontamination.smith_waterman(own.hashes, w.hashes)[0] / len(own.hashes)
+            if score >= decontamination.LEAST_SCORE and grams & set(own.grams(decontamination.SEED)[0].tolist()):
+                want[d, i] = score
+    got = {(x.doc_id, x.item_id): x.score for x in decontamination.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 50 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_bound_holds_every_alignment():
     r = np.random.default_rng(7)
     for _ in range(300):

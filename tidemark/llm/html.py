@@ -340,25 +340,25 @@ def align(a: list, b: list) -> list:
     """Merge two lists of items: what they have in common order stays, the rest becomes optional."""
     out: list = []
 
-    before = False  # whether the last item was one side's alone
+    before = ""  # which side the last item was from
 
-    def add(item: list, alone: bool) -> None:
+    def add(item: list, side: str) -> None:
         nonlocal before
-        # neighbours of one kind are a repeated item, but for those that both sides have
-        if (alone or before) and out and item[0] != "()" and _head(out[-1]) == _head(item):
-            last = out.pop()
+        # neighbours of one kind are a repeated item, but for those that one side, or both, have as neighbours too
+        if side != before and out and item[0] != "()" and _head(out[-1]) == _head(item):
+            last, side = out.pop(), "repeated"
             item = [item[0], "+" if "" in (last[1], item[1]) or "+" in (last[1], item[1]) else "*", align(last[2], item[2])]
         out.append(item)
-        before = alone
+        before = side
 
     i = j = 0
     for x, y in [*_common([_head(x) for x in a], [_head(x) for x in b]), (len(a), len(b))]:
         for item in a[i:x]:
-            add([item[0], _both(item[1], "?"), item[2]], True)
+            add([item[0], _both(item[1], "?"), item[2]], "a")
         for item in b[j:y]:
-            add([item[0], _both(item[1], "?"), item[2]], True)
+            add([item[0], _both(item[1], "?"), item[2]], "b")
         if x < len(a):
-            add([a[x][0], _both(a[x][1], b[y][1]), align(a[x][2], b[y][2])], False)
+            add([a[x][0], _both(a[x][1], b[y][1]), align(a[x][2], b[y][2])], "both")
         i, j = x + 1, y + 1
     return out
 
@@ -476,8 +476,8 @@ class Wrapper:
         walk(top, self.root, True, False, "")
         return out
 
-    def article(self, top: Node) -> list[Text]:
-        """The texts that the wrapper takes for the article: those within its inside places, but for the template's."""
+    def article(self, texts: list[tuple[Text, Place | None, Place, bool, str]]) -> list[Text]:
+        """Those of a page's texts that the wrapper takes for the article: within its inside places, but for the template's."""
         around: dict[int, bool] = {}
 
         def mark(place: Place, within: bool) -> None:
@@ -487,7 +487,7 @@ class Wrapper:
                 mark(x, within)
 
         mark(self.root, False)
-        found = [(t, own) for t, own, near, bad, _ in self.texts(top) if around[near.number] and not bad]
+        found = [(t, own) for t, own, near, bad, _ in texts if around[near.number] and not bad]
         varying = [t for t, own in found if own is None or own.number not in self.template or self.template[own.number] != digest(t.value())]
         return varying if any(t.value() for t in varying) else [t for t, _ in found]
 
@@ -518,7 +518,8 @@ def decide(text: str, stats: dict[int, list[int]]) -> str:
 
     A place's mass is its running text, and a fifth of its other text, over all pages; texts of the template have none.
     From the top, the article is sought in the children that hold most; the search ends where blocks of text hold a
-    quarter themselves, or where a name says article and none below does. Headings of the first level belong to it too.
+    quarter themselves, or where a name says article and none below does. Headings of the first level that differ from page
+    to page belong to it too.
     """
     wrapper = Wrapper(text)
     template = {i: x[5] for i, x in stats.items() if x[5] == x[6] and x[1] >= LEAST_PAGES and not wrapper.places[i].many}
@@ -557,7 +558,9 @@ def decide(text: str, stats: dict[int, list[int]]) -> str:
     outside = [x.number for x in wrapper.places if x.bad and not any(wrapper.places[i].bad for i in inside)]
     # lists of links among the blocks of an article
     outside += [x.number for x in wrapper.places if x.tag in ("ul", "ol", "dl", "div") and not x.bad and chars[x.number] and linked[x.number] >= 0.9 * chars[x.number] and x.number not in inside and _texts(x, stats) >= 3]
-    held = [x.number for x in wrapper.places if x.tag == "h1" and not x.bad and x.number in stats or x.tag == "h1" and not x.bad and any(y.number in stats for y in x.items)]
+    # a title above the article, but not one that all pages share
+    varies = lambda i: i in stats and (stats[i][5] != stats[i][6] or stats[i][1] < LEAST_PAGES)
+    held = [x.number for x in wrapper.places if x.tag == "h1" and not x.bad and any(varies(y.number) for y in x.items)]
     return json.dumps({"inside": sorted({*inside, *held}), "outside": sorted(set(outside)), "template": template}, separators=(",", ":"))
 
 
@@ -581,19 +584,20 @@ def _mass(texts: list[tuple[Text, Place | None, Place, bool, str]]) -> dict[str,
 
 
 def extract(page: str, wrapper: Wrapper) -> str:
-    """The article's blocks, one to a line. A page that has nothing at the host's places is judged by itself: by names that
-    say article, else by its own mass."""
-    top = tree(page)
-    chosen = [v for v in (t.value() for t in wrapper.article(top)) if v]
-    if not chosen:
-        texts = wrapper.texts(top)
-        chosen = [v for v in (t.value() for t, _, near, bad, _ in texts if near.good and not near.bad and not bad) if v]
-    if not chosen:
-        mass = _mass(texts)
-        under = max(mass, key=lambda p: (mass[p], p), default=None)
-        if under is not None:
-            chosen = [v for v in (t.value() for t, _, near, bad, path in texts if not bad and not near.bad and f"{path}/".startswith(f"{under}/")) if v]
-    return "\n".join(chosen)
+    """The article's blocks, one to a line. A page that has nothing but a title at the host's places is judged by itself: by
+    names that say article, else by its own mass."""
+    texts = wrapper.texts(tree(page))
+    chosen = set(map(id, wrapper.article(texts)))
+    tops = {id(t) for t, _, _, _, path in texts if path.rpartition("/")[2].split(" ")[0] == "h1"}
+    if not any(id(t) in chosen - tops and t.value() for t, *_ in texts):
+        alone = {id(t) for t, _, near, bad, _ in texts if near.good and not near.bad and not bad and t.value()}
+        if not alone:
+            mass = _mass(texts)
+            under = max(mass, key=lambda p: (mass[p], p), default=None)
+            if under is not None:
+                alone = {id(t) for t, _, near, bad, path in texts if not bad and not near.bad and f"{path}/".startswith(f"{under}/")}
+        chosen |= alone
+    return "\n".join(v for v in (t.value() for t, *_ in texts if id(t) in chosen) if v)
 
 
 def host_of(url: str | None) -> str:
