@@ -7,7 +7,7 @@ from tests import model
 from tidemark.functions.windows import Sessions, Sliding, Tumbling
 from tidemark.operators.aggregate import sessions as batch_sessions
 from tidemark.operators.aggregate import totals_by_window
-from tidemark.operators.policy import Policy, in_emission_order, tumbling_count
+from tidemark.operators.policy import Policy, in_emission_order, report, tumbling_count
 from tidemark.operators.watermark import BoundedLag, PercentileLag
 from tidemark.operators.sessions import current
 from tidemark.streaming.replay import Replay
@@ -150,7 +150,7 @@ def test_revision_within_grace(spark):
 def test_beyond_grace_goes_to_the_side(spark):
     got = tumbling_count(60, 0).run(simple(spark, 10, 20, 200, 30))
     assert [(r.seq, r.window_start) for r in got.side_output.collect()] == [(4, 0)]
-    assert got.stats.first().dropped_too_late == 1
+    assert got.stats.first().dropped_too_late == 1 and "dropped too late 1" in report(got.stats)
 
 
 def test_no_arrivals(spark):

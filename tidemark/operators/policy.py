@@ -183,6 +183,11 @@ def in_emission_order(results: DataFrame) -> DataFrame:
     return number(results.withColumn("bucket", bucket), "bucket", [F.asc_nulls_last("seq"), F.desc("revision"), "window_start", "window_end", "key"], "place").drop("bucket")
 
 
+def report(stats: DataFrame) -> str:
+    """The counters as lines of text."""
+    return "\n".join(f"{name.replace('_', ' '):>20} {value}" for name, value in stats.first().asDict().items())
+
+
 def tumbling_count(size: int, lag: int, **more) -> Policy:
     """Counts in tumbling windows under a fixed lag."""
     return Policy(Tumbling(size), BoundedLag(lag), "count", **more)

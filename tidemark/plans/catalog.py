@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.windows import Sessions, Sliding, Tumbling
+from ..functions.lineage import cut, remove_at_end, shared_dir
+from ..functions.windows import Sessions, Sliding, Tumbling, holds
 from ..operators import aggregate as agg
 from ..operators import heavy
 from ..operators.dedup import mark_kept
-from ..operators.policy import Policy
+from ..operators.policy import Policy, in_emission_order
 from ..operators.watermark import BoundedLag, PercentileLag
 from ..sources import arrivals as source
+from ..streaming.replay import Replay
 
 SIZE, STEP, LAG, GAP, GRACE, TTL = 21600, 3600, 1800, 21600, 43200, 600
 PERCENTILE, LAST = 0.95, 200
@@ -267,6 +270,44 @@ def lag_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sweep(spark, sf_dir, "lag", [(x, x, 0) for x in LAGS])
 
 
+@query(f"WITH {_placed(LAG, GRACE, TTL, SIZE, STEP)} SELECT {_RESULTS}, row_number() OVER (ORDER BY seq NULLS LAST, revision DESC, window_start, window_end, key) AS place FROM results")
+def emission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of sliding windows, from panes, numbered as they come out."""
+    done = Policy(Sliding(SIZE, STEP), BoundedLag(LAG), "count", GRACE, TTL, panes=True).run(source.arrivals(spark, sf_dir))
+    return in_emission_order(done.results)
+
+
+@query(f"WITH {_placed(LAG, GRACE, TTL, SIZE, STEP)} SELECT {_RESULTS} FROM results")
+def replay_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from three batches, each by an object of its own that knows the folder alone."""
+    rows, folder = cut(source.arrivals(spark, sf_dir)), f"{shared_dir(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
+    remove_at_end(spark, folder)
+    n = rows.count()
+    make = lambda: Replay(spark, _policy(windows=Sliding(SIZE, STEP)), folder)
+    for i in range(3):
+        make().process(rows.where(F.expr(f"(seq - 1) * 3 div {n}") == i), i)
+    return make().results().unionByName(make().flushed())
+
+
+@query(f"""WITH {_placed(LAG, GRACE, TTL, SIZE, STEP)}
+SELECT count(*) FILTER (NOT too_late)::BIGINT AS updates_of_windows, count(DISTINCT seq) FILTER (NOT too_late)::BIGINT AS updates_of_panes FROM placed""")
+def pane_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often an aggregate is updated, window by window and pane by pane."""
+    rows = cut(source.arrivals(spark, sf_dir))
+    one = lambda panes, name: Policy(Sliding(SIZE, STEP), BoundedLag(LAG), "count", GRACE, TTL, panes=panes).run(rows).stats.select(F.col("aggregator_updates").alias(name))
+    return one(False, "updates_of_windows").join(F.broadcast(one(True, "updates_of_panes")))  # one row each
+
+
+@query(f"""SELECT len(generate_series(greatest(((t - {SIZE}) // 5000 + 1) * 5000, 0), t // 5000 * 5000, 5000))::INTEGER AS windows, count(*) AS events, bool_and(t >= (t // 5000) * 5000) AS held
+FROM (SELECT epoch_us(ts) // 1000000 AS t FROM events) GROUP BY 1""")
+def multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many windows events lie where the step does not divide the size, and whether each of them holds its event."""
+    windows = Sliding(SIZE, 5000)
+    rows = _events(spark, sf_dir).withColumn("starts", windows.starts(F.col("event_time")))
+    held = F.forall("starts", lambda s: holds(F.col("event_time"), s, s + windows.size))
+    return rows.select(F.size("starts").alias("windows"), held.alias("held")).groupBy("windows").agg(F.count(F.lit(1)).alias("events"), F.min("held").alias("held"))
+
+
 @query(f"""WITH {_placed(LAG, GRACE, TTL, SIZE, SIZE)},
 gone AS (SELECT w.window_end, m.seq FROM ends w ASOF JOIN moves m ON m.wm >= w.window_end + {GRACE}),
 born AS (SELECT key, window_end, min(seq) AS seq FROM accepted GROUP BY key, window_end),
@@ -347,6 +388,15 @@ def space_saving_guarantee(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count(F.when(wrong, 1)).alias("keys_out_of_bounds"), F.count(F.when((F.col("true") > F.col("n") / CAPACITY) & F.col("count").isNull(), 1)).alias("frequent_keys_missed"))
 
 
+@query(f"""{_SKETCH_SQL}, top AS (SELECT * FROM sketch ORDER BY count DESC, key LIMIT {TOP})
+SELECT key, count, error, (count - error) * {CAPACITY} >= (SELECT count(*) FROM stream) AS guaranteed FROM top""")
+def space_saving_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch's top keys, and which of them are surely frequent."""
+    sketch = cut(heavy.space_saving(_zipf_stream(spark, sf_dir), CAPACITY))
+    sure = heavy.guaranteed_top(sketch, CAPACITY, TOP).select("key", F.lit(True).alias("sure"))
+    return heavy.top_of(sketch, TOP).join(F.broadcast(sure), "key", "left").select("key", "count", "error", F.coalesce("sure", F.lit(False)).alias("guaranteed"))  # TOP rows
+
+
 @query(f"""{_SKETCH_SQL}, best AS (SELECT key FROM counts ORDER BY true_count DESC, key LIMIT {TOP}), seen AS (SELECT key, count FROM sketch ORDER BY count DESC, key LIMIT {TOP})
 SELECT count(best.key) / (SELECT count(*) FROM best) AS overlap, max(abs(count - true_count) / true_count)::DOUBLE AS worst_relative_error, (SELECT count(*) FROM counts) AS distinct_keys
 FROM seen JOIN counts USING (key) LEFT JOIN best USING (key)""")

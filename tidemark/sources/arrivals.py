@@ -14,6 +14,9 @@ from ..functions.aggregates import SUM
 from ..functions.prefix import Running, bucket_width, running
 from .tables import table
 
+#: Keys of a generated law up to which its table is broadcast.
+MOST_KEYS = 100_000
+
 
 def in_order(rows: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """``rows`` numbered by ingest_time, event_id, is_retry (seq), with the latest event time up to and before each
@@ -102,7 +105,8 @@ def skewed_stream(spark: SparkSession, n: int = 20000, distinct_keys: int = 5000
     cdf = spark.createDataFrame([(k, (total[k - 1] if k else 0.0) / total[-1], t / total[-1]) for k, t in enumerate(total)], "k int, low double, high double")
     cdf = cdf.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))))
     drawn = spark.range(n).withColumn("u", _unit(f"{seed}:zipf", "id")).withColumn("cell", F.floor(F.col("u") * cells))
-    keyed = drawn.join(F.broadcast(cdf), (drawn.cell == cdf.cell) & (drawn.u >= cdf.low) & (drawn.u < cdf.high)).select("id", "k")  # the law's table: a few rows per key
+    cdf = F.broadcast(cdf) if distinct_keys <= MOST_KEYS else cdf  # a few rows per key
+    keyed = drawn.join(cdf, (drawn.cell == cdf.cell) & (drawn.u >= cdf.low) & (drawn.u < cdf.high)).select("id", "k")
     rows = keyed.select(F.col("id").alias("event_id"), F.col("id").alias("event_time"), F.format_string("k%05d", "k").alias("key"), F.col("id").alias("user_id"), F.lit(1.0).alias("value"), F.col("id").alias("ingest_time"), F.lit(0).alias("is_retry"))
     return in_order(rows, max(1, n // 16))
 
