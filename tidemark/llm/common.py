@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut, shared_dir
+from ..functions.lineage import cut, remove, remove_at_end, shared_dir
 from ..functions.names import fresh
 
 __all__ = ["chunks", "cut", "dealt", "fresh", "remove", "remove_at_end", "shared_dir", "table", "text_of"]
@@ -35,22 +34,6 @@ def dealt(df: DataFrame, parts: int, column: str) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
-def remove(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of intermediate files, wherever it lies."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def remove_at_end(spark: SparkSession, folder: str) -> None:
-    """Delete a folder when the Python process ends, if its session is still there then."""
-
-    def run() -> None:
-        if spark.sparkContext._jsc is not None:
-            remove(spark, folder)
-
-    atexit.register(run)
-
-
 def text_of(column: str = "text"):
     """The text column, null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
