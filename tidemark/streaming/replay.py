@@ -91,39 +91,44 @@ class Replay:
         latest = now.latest if last is None else max(last.latest, now.latest)
         kept, forgotten = self._kept(rows, last, batch_id, now.wm)
 
+        kept = kept.persist()
         placed = kept.withColumn("window_start", F.explode(p.windows.starts(F.col(p.time)))).withColumn("window_end", F.col("window_start") + p.windows.size)
         placed = placed.withColumn("too_late", F.col("window_end") + p.lateness <= F.col("wm"))
         side = placed.where("too_late").select("seq", "event_time", "key", "value", "event_id", "ingest_time", "window_start", "window_end")
         side.write.mode("overwrite").parquet(self._path("side", batch_id))
 
-        single = Window.partitionBy("seq", "window_start").orderBy("seq").rowsBetween(0, 0)
-        fresh = placed.where("NOT too_late").select("key", "window_start", "window_end", "seq", "wm", F.lit(False).alias("fired"), F.lit(1).cast("long").alias("events"), *[c.alias(n) for n, c in agg.of_each(single).items()])
-        held = self._open(last, fresh)
-        both = held.unionByName(fresh)
+        by, parts = ["key", "window_start", "window_end"], [f"part_{n}" for n in agg.parts]
+        floor, one = NONE if last is None else last.wm, F.lit(1).cast("long").alias("events")
+        accepted = placed.where("NOT too_late")
+        early = accepted.where("window_end > wm").groupBy(*by).agg(*agg.of_rows(), F.count(F.lit(1)).alias("events"))
+        held = self._open(last, early)
         steps = kept.select("wm", "seq").groupBy("wm").agg(F.min("seq").alias("seq"))
-        both = both.join(crossings(steps, both.select(F.col("window_end").alias("end")), p.windows.step).withColumnRenamed("end", "window_end"), "window_end", "left")
-        own = Window.partitionBy("key", "window_start")
-        so_far = own.orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        both = both.withColumn("done", F.max("fired").over(own)).withColumn("old", F.min("seq").over(own) < 0)
-        both = both.withColumn("first", F.min(F.when(F.col("seq") >= 0, F.struct("seq", "wm"))).over(own))
-        waits = ~F.col("old") & (F.col("first.seq") > F.col("cross_seq"))
-        both = both.withColumn("fire_seq", F.when(F.col("done"), F.lit(-1)).when(waits & F.col("cross_seq").isNotNull(), F.col("first.seq")).otherwise(F.col("cross_seq")))
-        both = both.withColumn("fire_wm", F.when(waits, F.col("first.wm")).otherwise(F.col("cross_wm")))
-        both = both.withColumns({f"run_{n}": agg.merged(n, so_far) for n in agg.merge}).withColumn("run_events", F.sum("events").over(so_far)).persist()
-
-        fires = both.where("NOT done AND fire_seq IS NOT NULL AND seq <= fire_seq").groupBy("key", "window_start", "window_end", "fire_seq", "fire_wm").agg(*agg.of_parts(), F.sum("events").alias("events"))
-        fires = fires.select("key", "window_start", "window_end", agg.value().alias("value"), "events", F.col("fire_wm").alias("watermark"), F.lit(False).alias("revision"), F.col("fire_seq").alias("seq"))
-        again = both.where("seq >= 0 AND fire_seq IS NOT NULL AND seq > fire_seq")
-        again = again.select("key", "window_start", "window_end", agg.result(lambda n: F.col(f"run_{n}")).cast("double").alias("value"), F.col("run_events").alias("events"), F.col("wm").alias("watermark"), F.lit(True).alias("revision"), "seq")
-        fires.unionByName(again).write.mode("overwrite").parquet(self._path("results", batch_id))
-
-        left = both.groupBy("key", "window_start", "window_end").agg(*agg.of_parts(), F.sum("events").alias("events"), F.max(F.col("fire_seq").isNotNull()).alias("fired"))
-        left = left.where(F.col("window_end") + p.lateness > now.wm).select(*[F.col(f.name).cast(f.dataType) for f in fresh.schema.fields if f.name not in ("seq", "wm")])
+        ends = held.select(F.col("window_end").alias("end")).unionByName(accepted.select(F.col("window_end").alias("end")))
+        crossed = crossings(steps, ends, p.windows.step).withColumnRenamed("end", "window_end")
+        # as in one run: what is there when the watermark passes a window makes its first result, what is late comes after
+        late = accepted.where("window_end <= wm").join(crossed, "window_end").withColumn("moving", (F.col("seq") == F.col("cross_seq")) & (F.col("window_end") > floor))
+        moving = late.where("moving").groupBy(*by).agg(*agg.of_rows(), F.count(F.lit(1)).alias("events"))
+        fresh = early.unionByName(moving).withColumn("fired", F.lit(False))
+        firsts = held.unionByName(fresh).groupBy(*by).agg(*agg.of_parts(), F.sum("events").alias("events"), F.max("fired").alias("done")).join(crossed, "window_end", "left")
+        firsts = firsts.select(*by, F.lit(0).alias("order"), F.col("cross_seq").alias("seq"), F.col("cross_wm").alias("watermark"), *parts, "events", "done")
+        own = Window.partitionBy(*by).orderBy("order", "seq")
+        after = late.where("NOT moving").withColumn("order", F.lit(1)).withColumns(agg.of_each(own.rowsBetween(0, 0)))
+        after = after.select(*by, "order", "seq", F.col("wm").alias("watermark"), *parts, one, F.lit(False).alias("done"))
+        both = firsts.unionByName(after).persist()
+
+        so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        run = both.withColumns({"value": agg.running(so_far), "n": F.sum("events").over(so_far), "place": F.row_number().over(own)})
+        out = run.where("order = 1 OR NOT done AND seq IS NOT NULL")
+        out = out.select(*by, "value", F.col("n").alias("events"), "watermark", (F.col("place") > 1).alias("revision"), "seq")
+        out.write.mode("overwrite").parquet(self._path("results", batch_id))
+
+        left = both.groupBy(*by).agg(*agg.of_parts(), F.sum("events").alias("events"), F.max(F.col("done") | F.col("seq").isNotNull()).alias("fired"))
+        left = left.where(F.col("window_end") + p.lateness > now.wm).select(*[F.col(f.name).cast(f.dataType) for f in early.schema.fields], "fired")
         left.write.mode("overwrite").parquet(self._path("open", batch_id))
-        self._count(batch_id, kept, placed, forgotten, self._peak(both, steps, held), now.n)
+        self._count(batch_id, kept, placed, forgotten, self._peak(accepted, steps, held), now.n)
         self._write_meta(batch_id, latest, count + now.n, now.wm)
-        both.unpersist()
-        rows.unpersist()
+        for held_rows in (both, kept, rows):
+            held_rows.unpersist()
 
     def _timed(self, rows: DataFrame, last: Row | None) -> DataFrame:
         """``rows`` with wm and wm_before, which go on from what the last batch left."""
@@ -160,10 +165,11 @@ class Replay:
         held.distinct().where(~gone).write.mode("overwrite").parquet(self._path("ids", batch_id))
         return kept, held.where(gone)
 
-    def _peak(self, both: DataFrame, steps: DataFrame, held: DataFrame) -> DataFrame:
+    def _peak(self, accepted: DataFrame, steps: DataFrame, held: DataFrame) -> DataFrame:
         """(peak): the most windows held during the batch."""
-        grace = self.policy.lateness
-        windows = both.groupBy("key", "window_start", "window_end").agg(F.min("seq").alias("born"))
+        grace, by = self.policy.lateness, ["key", "window_start", "window_end"]
+        new = accepted.groupBy(*by).agg(F.min("seq").alias("born")).join(held.select(*by), by, "left_anti")
+        windows = new.unionByName(held.select(*by, F.lit(-1).cast("long").alias("born")))
         gone = crossings(steps, windows.select((F.col("window_end") + grace).alias("end")), self.policy.windows.step).select((F.col("end") - grace).alias("window_end"), F.col("cross_seq").alias("gone"))
         moves = windows.join(gone, "window_end", "left")
         born = moves.where("born >= 0").select(F.col("born").alias("seq"), F.lit(1).alias("step"))
@@ -187,11 +193,9 @@ class Replay:
         one.write.mode("overwrite").parquet(self._path("stats", batch_id))
 
     def _open(self, last: Row | None, like: DataFrame) -> DataFrame:
-        """Windows that the last batch left, as rows before all of this batch."""
-        fields = [f for f in like.schema.fields if f.name not in ("seq", "wm")]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-        held = self._read("open", last, schema)
-        return held.withColumn("seq", F.lit(-1).cast("long")).withColumn("wm", F.lit(None).cast("long"))
+        """Windows that the last batch left: their parts, and whether they have fired."""
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema.fields)
+        return self._read("open", last, f"{schema}, fired boolean")
 
     def _carry(self, batch_id: int, last: Row) -> None:
         """An empty batch leaves what it found."""
