@@ -169,6 +169,7 @@ def test_quality_deals_repeated_rows_apart_and_keeps_names(spark, monkeypatch):
     r = random.Random(6)
     words = ["stone", "water", "green", "garden", "morning", "letter", "window", "silver"]
     rows = [(i, " ".join(r.choice(words) for _ in range(40)), "en") for i in range(200)]
+    rows.append((300, " ".join(r.choice(words) for _ in range(4000)), "en"))  # longer than a block below
     hot = [(None, rows[0][1], "en")] * 500 + [(7, rows[7][1], "en")] * 500 + [(None, None, "en")] * 100
     docs = spark.createDataFrame([(*x, "k", 1, "l") for x in rows + hot], "doc_id long, text string, lang string, __text string, one long, key string").coalesce(1)
     labels = spark.createDataFrame([(i, 1) for i in range(180)], "doc_id long, quality int")
@@ -273,7 +274,8 @@ def test_neighbours_of_extreme_and_equal_vectors(spark, monkeypatch, pairs):
     monkeypatch.setattr(ann, "LEAST_BYTES", 50)
     huge = [(0, [1e200, 0.0]), (1, [1e200, 1.0]), (2, [-1e200, 5.0]), (3, [1e-310, 0.0]), (4, [1.0, 2.0]), (5, [1e160, -1e160]), (6, [3e-320, 1e-322])]
     same = [(10 + i % 40, [0.5, 0.25]) for i in range(120)]
-    rows = huge + same + [(20, [0.5, 0.25, 1.0]), (60, [0.5, 0.25, 2.0])]
+    long = np.random.default_rng(15).normal(size=(6, 4000))
+    rows = huge + same + [(20, [0.5, 0.25, 1.0]), (60, [0.5, 0.25, 2.0])] + [(70 + i, v.tolist()) for i, v in enumerate(long)]
     df = spark.createDataFrame([(*v, 0, "s") for v in rows], "vec_id long, embedding array<double>, row int, same string")
     got = collections.defaultdict(list)
     for x in ann.search(df, df.where("vec_id % 2 = 0"), 4).orderBy("query_id", "rank").collect():

@@ -26,7 +26,7 @@ SHINGLE, LEAST = 5, 0.8
 COORDINATES, ROWS, BANDS = 128, 7, 64
 #: Documents of a group, and bytes of their shingles, that one task compares at most, about: a larger group is cut into
 #: tiles, and a pair of tiles is a task.
-TILE, TILE_BYTES = 1000, 16 << 20
+TILE, TILE_BYTES = 500, 16 << 20
 #: Groups whose sizes are broadcast at most; those of more groups are joined.
 MOST_GROUPS = 100_000
 
