@@ -197,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     if min((shares.get((f, t), 0) for f in (0, 1) for t in (0, 1)), default=0) < 2:
         return Model(empty, None, None, toxic / rows if rows else 0.0)
     of = lambda fold, label: F.coalesce(F.sum(F.when((F.col("fold") == fold) & (F.col("toxic") == label), F.col("n"))), F.lit(0)).alias(f"n{fold}{label}")
-    counts = cut(_stem_counts(texts).groupBy("stem").agg(*[of(f, t) for f in (0, 1) for t in (0, 1)]).where(F.col("n01") + F.col("n11") >= 2))
+    counts = cut(_stem_counts(texts).groupBy("stem").agg(*[of(f, t) for f in (0, 1) for t in (0, 1)]).where(F.col("n01") + F.col("n11") >= LEAST_ROWS))
 
     def lexicon(fold: int | None) -> Lexicon:
         """Stems of the largest ratio, of the rows of one half or of all."""
