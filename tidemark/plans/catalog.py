@@ -279,13 +279,13 @@ def emission_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_placed(LAG, GRACE, TTL, SIZE, STEP)} SELECT {_RESULTS} FROM results")
 def replay_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from three batches, each by an object of its own that knows the folder alone."""
+    """The same from two batches, each by an object of its own that knows the folder alone."""
     rows, folder = cut(source.arrivals(spark, sf_dir)), f"{shared_dir(spark).rstrip('/')}/replay-{uuid.uuid4().hex}"
     remove_at_end(spark, folder)
     n = rows.count()
     make = lambda: Replay(spark, _policy(windows=Sliding(SIZE, STEP)), folder)
-    for i in range(3):
-        make().process(rows.where(F.expr(f"(seq - 1) * 3 div {n}") == i), i)
+    for i in range(2):
+        make().process(rows.where(F.expr(f"(seq - 1) * 2 div {n}") == i), i)
     return make().results().unionByName(make().flushed())
 
 
