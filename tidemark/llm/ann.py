@@ -122,24 +122,30 @@ class Survivors:
         columns = [x[fine] for x in columns]
         order = np.lexsort((columns[1], columns[2], columns[3], columns[0]))
         columns = [x[order] for x in columns]
-        q, same = columns[0], columns[3]
-        first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (same[1:] != same[:-1]))) if len(q) else np.empty(0, int)
-        fine = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < self.k
+        fine = _leading((columns[0], columns[3]), self.k)
         self.found, self.held = [tuple(x[fine] for x in columns)], int(fine.sum())
 
     def pairs(self) -> pa.RecordBatch:
         self.thin()
-        q, rows, ids, _, low, high = self.found[0]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (self.rows[q], self.ids[q], rows, ids)] + [pa.array(low), pa.array(high)], names=_PAIR_NAMES)
+        q, rows, ids, same, low, high = self.found[0]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (self.rows[q], self.ids[q], rows, ids, same)] + [pa.array(low), pa.array(high)], names=_PAIR_NAMES)
 
 
-_PAIR_NAMES = ["query_row", "query_id", "row", "vec_id", "low", "high"]
-_PAIRS = "query_row long, query_id long, row long, vec_id long, low double, high double"
+_PAIR_NAMES = ["query_row", "query_id", "row", "vec_id", "same", "low", "high"]
+_PAIRS = "query_row long, query_id long, row long, vec_id long, same long, low double, high double"
+
+
+def _leading(groups: tuple[np.ndarray, ...], k: int) -> np.ndarray:
+    """Of rows sorted by groups: whether each is among the first ``k`` of its group."""
+    n = len(groups[0])
+    first = np.flatnonzero(np.append(True, np.any([g[1:] != g[:-1] for g in groups], axis=0))) if n else np.empty(0, int)
+    return np.arange(n) - np.repeat(first, np.diff(np.append(first, n))) < k
 
 
 def _closest(pairs: DataFrame, k: int) -> DataFrame:
     """The pairs that may still be among the query's ``k`` nearest when all groups' bounds are known: those whose lower
-    bound is not beyond the k-th upper one. A query's pairs, some per group, meet in order, one query at a time."""
+    bound is not beyond the k-th upper one, and of equal vectors the ``k`` of smallest id. A query's pairs, some per group,
+    meet in order, one query at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -155,12 +161,15 @@ def _closest(pairs: DataFrame, k: int) -> DataFrame:
     def few(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
-        of, low, high = (table.column(i).to_numpy() for i in (0, 4, 5))
+        of, low, high = (table.column(i).to_numpy() for i in (0, 5, 6))
         order = np.lexsort((high, of))
         first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         counts = np.diff(np.append(first, len(of)))
         limit = np.where(counts >= k, high[order][np.minimum(first + k - 1, len(of) - 1)], np.inf)
-        yield from table.filter(pa.array(low <= np.repeat(limit, counts))).to_batches()
+        table = table.filter(pa.array(low <= np.repeat(limit, counts)))
+        of, row, ids, same = (table.column(i).to_numpy() for i in (0, 2, 3, 4))
+        order = np.lexsort((row, ids, same, of))
+        yield from table.take(pa.array(order[_leading((of[order], same[order]), k)])).to_batches()
 
     return pairs.repartition("query_row").sortWithinPartitions("query_row").mapInArrow(run, _PAIRS)
 
