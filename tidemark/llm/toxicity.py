@@ -252,10 +252,11 @@ def score(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score below ``TOXIC_FROM``, all their columns, by a model fitted on labelled rows of ``docs``.
 
-    Columns of any name stay as they are. Without labelled rows of both kinds the share of toxic ones is every row's score.
+    Columns of any name stay as they are. Without labelled rows of both kinds nothing tells documents apart, and all stay.
     """
     (name,) = fresh(docs.columns, "score")
-    return score(docs, train(docs, labels), name).where(F.col(name) < TOXIC_FROM).drop(name)
+    model = train(docs, labels)
+    return docs if model.trees is None else score(docs, model, name).where(F.col(name) < TOXIC_FROM).drop(name)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
