@@ -15,7 +15,7 @@ from ..functions.names import fresh
 __all__ = ["chunks", "cut", "dealt", "fresh", "remove", "remove_at_end", "shared_dir", "table", "text_of"]
 
 #: Bytes of text that one vectorised step takes at most; a longer text is a step of its own.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

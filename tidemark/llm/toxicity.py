@@ -30,6 +30,8 @@ SECOND_PERSON = (
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": ""})
 #: Labelled rows that a model is fitted on at most (those of smallest hash of doc_id), lengths of stems, and stems kept.
 MOST_ROWS, STEMS, MOST_STEMS = 20_000, (4, 5, 6, 7, 8), 4_000
+#: Bytes of text of which stems are counted at a time: each word has as many as there are lengths.
+STEM_BYTES = 300_000
 #: Toxic training rows that a stem must occur in, and how many times as frequent it must be among them.
 LEAST_ROWS, LEAST_RATIO = 4, 6.0
 #: Score from which a document counts as toxic.
@@ -154,10 +156,11 @@ def held_out(doc_id="doc_id"):
 
 
 def _stem_counts(df: DataFrame) -> DataFrame:
-    """Rows (fold, toxic, stem, n): in how many texts a stem occurs."""
+    """Rows (stem, n00, n01, n10, n11): in how many texts of each fold and label a stem occurs."""
+    of = lambda fold, label: F.coalesce(F.sum(F.when((F.col("fold") == fold) & (F.col("toxic") == label), F.col("n"))), F.lit(0)).alias(f"n{fold}{label}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunks(batches, "text"):
+        for batch, texts in chunks(batches, "text", STEM_BYTES):
             w = words_of(texts)
             kind = batch.column(0).to_numpy() * 2 + batch.column(1).to_numpy()
             found, owner = [], []
@@ -174,7 +177,7 @@ def _stem_counts(df: DataFrame) -> DataFrame:
             n = np.diff(np.append(first, len(h)))
             yield pa.RecordBatch.from_arrays([pa.array(k[first] // 2, pa.int64()), pa.array(k[first] % 2, pa.int64()), pa.array(h[first].view(np.int64)), pa.array(n, pa.int64())], names=["fold", "toxic", "stem", "n"])
 
-    return df.select("fold", "toxic", "text").mapInArrow(run, "fold long, toxic long, stem long, n long").groupBy("fold", "toxic", "stem").agg(F.sum("n").alias("n"))
+    return df.select("fold", "toxic", "text").mapInArrow(run, "fold long, toxic long, stem long, n long").groupBy("stem").agg(*[of(f, t) for f in (0, 1) for t in (0, 1)])
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Model:
@@ -196,8 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     empty = Lexicon(np.empty(0, np.uint64), np.empty(0))
     if min((shares.get((f, t), 0) for f in (0, 1) for t in (0, 1)), default=0) < 2:
         return Model(empty, None, None, toxic / rows if rows else 0.0)
-    of = lambda fold, label: F.coalesce(F.sum(F.when((F.col("fold") == fold) & (F.col("toxic") == label), F.col("n"))), F.lit(0)).alias(f"n{fold}{label}")
-    counts = cut(_stem_counts(texts).groupBy("stem").agg(*[of(f, t) for f in (0, 1) for t in (0, 1)]).where(F.col("n01") + F.col("n11") >= LEAST_ROWS))
+    counts = cut(_stem_counts(texts).where(F.col("n01") + F.col("n11") >= LEAST_ROWS))
 
     def lexicon(fold: int | None) -> Lexicon:
         """Stems of the largest ratio, of the rows of one half or of all."""
