@@ -421,6 +421,8 @@ def test_what_is_shared_by_few_pages_or_repeats_stays_text():
     pages, want = neutral_pages(random.Random(9), 8)  # too few to tell template from text
     wrapper = html.Wrapper(*read_host(pages))
     assert all(f"{t}" in html.extract(p, wrapper) and "Send us" in html.extract(p, wrapper) for p, t in zip(pages, [w.split("\n")[0] for w in want], strict=True))
+    lone = ["<html><body><nav><a href=x>m</a></nav><article><h1>One</h1><p>All there is to say of it.</p></article></body></html>"] * 12
+    assert html.extract(lone[0], html.Wrapper(*read_host(lone))) == "One\nAll there is to say of it."
     copies = [page(1)] * 30
     assert html.extract(copies[0], html.Wrapper(*read_host(copies))) == "Title 1\nBold & text 1\nSecond paragraph, with a link é."
 

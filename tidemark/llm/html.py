@@ -477,7 +477,8 @@ class Wrapper:
         return out
 
     def article(self, texts: list[tuple[Text, Place | None, Place, bool, str]]) -> list[Text]:
-        """Those of a page's texts that the wrapper takes for the article: within its inside places, but for the template's."""
+        """Those of a page's texts that the wrapper takes for the article: within its inside places, but for the template's.
+        Where that would leave a page with headings alone, all of its pages are copies, and the texts stay."""
         around: dict[int, bool] = {}
 
         def mark(place: Place, within: bool) -> None:
@@ -487,9 +488,14 @@ class Wrapper:
                 mark(x, within)
 
         mark(self.root, False)
-        found = [(t, own) for t, own, near, bad, _ in texts if around[near.number] and not bad]
-        varying = [t for t, own in found if own is None or own.number not in self.template or self.template[own.number] != digest(t.value())]
-        return varying if any(t.value() for t in varying) else [t for t, _ in found]
+        found = [(t, own, _tag(path)) for t, own, near, bad, path in texts if around[near.number] and not bad]
+        varying = [(t, tag) for t, own, tag in found if own is None or own.number not in self.template or self.template[own.number] != digest(t.value())]
+        return [t for t, _ in varying] if any(tag not in HEADINGS and t.value() for t, tag in varying) else [t for t, *_ in found]
+
+
+def _tag(path: str) -> str:
+    """The tag of the innermost element of a path."""
+    return path.rpartition("/")[2].split(" ")[0]
 
 
 def digest(text: str) -> int:
@@ -588,7 +594,7 @@ def extract(page: str, wrapper: Wrapper) -> str:
     names that say article, else by its own mass."""
     texts = wrapper.texts(tree(page))
     chosen = set(map(id, wrapper.article(texts)))
-    tops = {id(t) for t, _, _, _, path in texts if path.rpartition("/")[2].split(" ")[0] == "h1"}
+    tops = {id(t) for t, _, _, _, path in texts if _tag(path) == "h1"}
     if not any(id(t) in chosen - tops and t.value() for t, *_ in texts):
         alone = {id(t) for t, _, near, bad, _ in texts if near.good and not near.bad and not bad and t.value()}
         if not alone:
