@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -128,6 +129,24 @@ def test_ids_equal_the_library(codec):
         assert codec.decode(ids[cuts[i] : cuts[i + 1]]) == text.encode()
 
 
+def test_long_words_equal_the_library_and_end_soon(codec):
+    import public_tokenizers
+    import tiktoken
+
+    r = random.Random(16)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.default_vocabulary()), special_tokens={})
+    texts = ["x" * 20_001, "ab" * 9_000, "aaab" * 5_000, "".join(r.choice("abcdefgh") for _ in range(20_000)), "".join(r.choice("aab") for _ in range(20_000)), "é" * 7_001]
+    ids, cuts, _ = codec.encode(texts)
+    for i, text in enumerate(texts):
+        assert ids[cuts[i] : cuts[i + 1]].tolist() == own.encode_ordinary(text)
+    start = time.perf_counter()
+    ids, cuts, _ = codec.encode(["x" * 1_000_000, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000))])
+    assert time.perf_counter() - start < 60 and codec.decode(ids[: cuts[1]]) == b"x" * 1_000_000
+    pieces = ["".join(r.choice("abc") for _ in range(r.randint(1, 60))).encode() for _ in range(200)]
+    ids, counts = codec.merger.merge(pieces)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [codec.merger._merge_long(p).tolist() if p not in codec.merger.whole else [codec.merger.whole[p]] for p in pieces]
+
+
 def test_offsets_let_any_stretch_be_decoded(spark, codec):
     import public_tokenizers
     import regex

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 import unicodedata
 from collections.abc import Iterator
 
@@ -31,6 +32,8 @@ FRESH, IN_L, IN_N, IN_O, JOIN, IN_W, TAKE1, TAKE2 = range(8)
 WIDTH = 64
 #: Bytes of text that are encoded at a time.
 STEP_BYTES = 1_000_000
+#: Bytes of a piece beyond which its merges are taken from a heap.
+LONG_BYTES = 1000
 #: Words and their ids that one Python worker keeps.
 CACHE_WORDS = 250_000
 
@@ -129,6 +132,7 @@ class Merger:
                     pairs[a * self.most + b] = rank
         keys = np.array(sorted(pairs), np.int64)
         self.keys, self.ids = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
+        self.joins = pairs
         slots = 1 << 22
         self.mask = slots - 1
         self.known = np.zeros(slots, bool)
@@ -151,7 +155,15 @@ class Merger:
 
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces on end, and how many each has: in every round each piece merges its leftmost pair of
-        lowest rank, all pieces at once."""
+        lowest rank, all pieces at once. Pieces beyond LONG_BYTES, which would take a round a merge, go one by one."""
+        large = [i for i, p in enumerate(pieces) if len(p) > LONG_BYTES and p not in self.whole]
+        if large:
+            alone = {i: self._merge_long(pieces[i]) for i in large}
+            short = [p for i, p in enumerate(pieces) if i not in alone]
+            ids, counts = self.merge(short) if short else (np.empty(0, np.int64), np.zeros(1, np.int64))
+            parts = iter(np.split(ids, np.cumsum(counts)[:-1]))
+            whole = [alone[i] if i in alone else next(parts) for i in range(len(pieces))]
+            return np.concatenate(whole), np.array([len(x) for x in whole])
         found = np.array([-1 if r is None else r for r in map(self.whole.get, pieces)], np.int64)
         rest = np.flatnonzero(found < 0).tolist()
         counts_of = np.ones(len(pieces), np.int64)
@@ -196,6 +208,35 @@ class Merger:
         return flat, counts_of
 
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        """The ids of one piece: pairs wait in a heap by rank and place, what a merge makes stale is passed over."""
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        ranks = np.append(self.rank(ids[:-1], ids[1:]), self.most).tolist()
+        ids, n, most = ids.tolist(), len(ids), self.most
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i, r in enumerate(ranks) if r < most]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if ranks[i] != r:
+                continue
+            gone = after[i]
+            ids[i], ids[gone], ranks[gone] = r, -1, most
+            after[i] = after[gone]
+            if after[i] < n:
+                before[after[i]] = i
+                ranks[i] = self.joins.get(r * most + ids[after[i]], most)
+                if ranks[i] < most:
+                    heapq.heappush(heap, (ranks[i], i))
+            else:
+                ranks[i] = most
+            if (left := before[i]) >= 0:
+                ranks[left] = self.joins.get(ids[left] * most + r, most)
+                if ranks[left] < most:
+                    heapq.heappush(heap, (ranks[left], left))
+        return np.array([x for x in ids if x >= 0], np.int64)
+
+
 class Codec:
     """Encodes and decodes texts; keeps the ids of words met before."""
 
