@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, text_of
+from .common import chunks, settled, table, text_of
 
 #: Classes of code points. Fixed values.
 LETTER, NUMBER, OTHER, SPACE, WHITE = 0, 1, 2, 3, 4
@@ -34,7 +34,7 @@ WIDTH = 64
 STEP_BYTES = 1_000_000
 #: Bytes of a piece beyond which its merges are taken from a heap.
 LONG_BYTES = 1000
-#: Words and their ids that one Python worker keeps.
+#: Words and their ids that one task keeps, about.
 CACHE_WORDS = 250_000
 
 
@@ -238,17 +238,17 @@ class Merger:
 
 
 class Codec:
-    """Encodes and decodes texts; keeps the ids of words met before."""
+    """Encodes and decodes texts; keeps the ids of words met before, until it is told to forget them."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.merger = Merger(ranks)
-        self._forget()
+        self.forget()
         tokens = [self.merger.tokens.get(i, b"") for i in range(self.merger.most)]
         self.lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
         self.at = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.index: dict[str, int] = {}
         self.flat = np.empty(1 << 21, np.uint32)
         self.begin = np.zeros(CACHE_WORDS, np.int64)
@@ -275,7 +275,7 @@ class Codec:
         stops = np.minimum(stops, ends[owner]) if len(starts) else stops[:0]
         words = [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
         if len(self.index) > CACHE_WORDS:
-            self._forget()
+            self.forget()
         known = self.index
         new = list({w for w in words if w not in known})
         if new:
@@ -322,6 +322,7 @@ def encode_documents(df: DataFrame, path: str, with_ids: bool = True) -> DataFra
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, offsets array<int>" * with_ids
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
         for batch, texts in chunks(batches, "text", STEP_BYTES):
@@ -344,6 +345,7 @@ def encode_documents(df: DataFrame, path: str, with_ids: bool = True) -> DataFra
                 starts = offsets[own] - np.repeat(cuts[:-1], sizes)
                 out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(starts, pa.int32())))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids", "offsets"] * with_ids])
+        codec.forget()  # the worker may go on with another operator
 
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
 

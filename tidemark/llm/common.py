@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import sys
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut, remove, remove_at_end, shared_dir
 from ..functions.names import fresh
 
-__all__ = ["chunks", "cut", "dealt", "fresh", "remove", "remove_at_end", "shared_dir", "table", "text_of"]
+__all__ = ["chunks", "cut", "dealt", "fresh", "remove", "remove_at_end", "settle", "settled", "shared_dir", "table", "text_of"]
 
 #: Bytes of text that one vectorised step takes at most; a longer text is a step of its own.
 CHUNK_CHARS = 1_000_000
@@ -34,6 +37,30 @@ def dealt(df: DataFrame, parts: int, column: str) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def settle() -> None:
+    """Give back to the system what Arrow's and C's allocators hold free: a Python worker outlives its task, and what it
+    holds stands beside the next stage's memory."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trim()) is not None:
+        trim(0)
+
+
+def settled(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over batches, whose memory goes back when it has ended."""
+
+    @functools.wraps(run)
+    def to_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        settle()
+
+    return to_end
+
+
 def text_of(column: str = "text"):
     """The text column, null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -42,7 +69,7 @@ def text_of(column: str = "text"):
 def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches whose texts hold about ``most`` bytes together, with the texts (null read as empty).
 
-    Only one slice's texts are Python strings at a time, and what Arrow no longer needs goes back to the system.
+    Only one slice's texts are Python strings at a time, and what is no longer needed goes back to the system.
     """
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
@@ -54,4 +81,4 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = CHUNK_CHA
                 start, held = i, 0
             held += n
         del batch, texts
-        pa.default_memory_pool().release_unused()
+        settle()

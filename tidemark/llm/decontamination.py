@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, table, text_of
+from .common import chunks, settled, table, text_of
 from .words import BASE, Words, words_of
 
 #: Words of a seed, words that an item needs, and the share of an item's words from which an alignment counts.
@@ -180,6 +180,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items_of(block))  # BLOCK_BYTES of texts
 
+        @settled
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items = shared.value
             for batch, own in chunks(batches, "text"):
@@ -198,6 +199,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for block in _blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items_of(block))  # BLOCK_BYTES of texts
 
+        @settled
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch, own in chunks(batches, "text"):
                 hit = {t for t, *_ in scan(words_of(own), shared.value)}

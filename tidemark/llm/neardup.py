@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fresh, table, text_of
+from .common import chunks, cut, fresh, settle, settled, table, text_of
 from .words import BASE, Words, mix, words_of
 
 #: Words of a shingle, and the weighted Jaccard similarity from which documents are linked.
@@ -27,6 +27,8 @@ COORDINATES, ROWS, BANDS = 128, 7, 64
 #: Documents of a group, and bytes of their shingles, that one task compares at most, about: a larger group is cut into
 #: tiles, and a pair of tiles is a task.
 TILE, TILE_BYTES = 500, 16 << 20
+#: Bytes of a group beyond which memory is given back after it.
+SETTLE_BYTES = 1 << 20
 #: Groups whose sizes are broadcast at most; those of more groups are joined.
 MOST_GROUPS = 100_000
 
@@ -125,6 +127,7 @@ def nodes_of(w: Words, texts: list[str]) -> np.ndarray:
     return out.view(np.int64)
 
 
+@settled
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in chunks(batches, "text"):
         w = words_of(texts)
@@ -164,6 +167,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, items): of each wanted node once, its shingles as sorted numbers; a repetition is a number of its own."""
     shared = docs.sparkSession.sparkContext.broadcast(_Maybe(wanted))
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in chunks(batches, "text"):
             nodes = nodes_of(words_of(texts), texts)
@@ -240,6 +244,9 @@ def _compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     nodes, parts = nodes[order], parts[order]
     first = np.unique(parts, return_index=True)[1]  # one of each component that was known before
     first = first[root[first] != first]
+    if group.nbytes > SETTLE_BYTES:
+        del items
+        settle()
     return pa.table({"a": nodes[root[first]], "b": nodes[first]})
 
 

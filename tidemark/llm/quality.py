@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, fresh, table, text_of
+from .common import cut, dealt, fresh, settle, settled, table, text_of
 
 ORDER = 4
 #: Code points of a block, about, and tasks that blocks are dealt to at most. Blocks follow from the size of all texts.
@@ -33,17 +33,25 @@ STEADY = 4000
 MOST_LANGUAGES = 10_000
 
 
+def _steps(n: int) -> Iterator[slice]:
+    """Stretches of n positions: numpy makes 8-byte indices of those it is given, here of a stretch at a time."""
+    return (slice(i, i + (1 << 20)) for i in range(0, n, 1 << 20))
+
+
 def _dense(first: np.ndarray, n: int, second: np.ndarray, m: int) -> tuple[np.ndarray, int]:
     """Numbers without gaps for pairs of numbers below n and m."""
     if n * m <= 1 << 24:
-        keys = first.astype(np.int32) * np.int32(m)
+        keys = np.multiply(first, np.int32(m), dtype=np.int32)
         keys += second
         there = np.zeros(n * m, bool)
-        there[keys] = True
+        for s in _steps(len(keys)):
+            there[keys[s]] = True
         found = np.flatnonzero(there)
         rank = np.empty(n * m, np.int32)
         rank[found] = np.arange(len(found), dtype=np.int32)
-        return rank[keys], len(found)
+        for s in _steps(len(keys)):
+            keys[s] = rank[keys[s]]
+        return keys, len(found)
     found, number = np.unique(first.astype(np.int64) * m + second, return_inverse=True)
     return number.astype(np.int32), len(found)
 
@@ -56,12 +64,15 @@ class Grams:
         joined = "".join(f"{pad}{t}{BEHIND}" for t in texts)
         cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         there = np.zeros(0x110000, bool)
-        there[cp] = True
+        for s in _steps(len(cp)):
+            there[cp[s]] = True
         letters = np.flatnonzero(there)
-        rank = np.zeros(0x110000, np.int32)
+        rank = np.zeros(0x110000, np.uint16 if len(letters) <= 1 << 16 else np.int32)
         rank[letters] = np.arange(len(letters))
-        single = rank[cp]
-        del cp
+        single = np.empty(len(cp), rank.dtype)
+        for s in _steps(len(cp)):
+            single[s] = rank[cp[s]]
+        del cp, there, rank
         ids, n = single, len(letters)
         for i in range(1, order):
             ids, n = _dense(ids[: len(ids) - 1], n, single[i:], len(letters))
@@ -72,10 +83,11 @@ class Grams:
             at = starts[1:-1] - i
             inside[at] = False
         at = np.full(n, -1, np.int64)
-        for i in range(0, len(ids), 1 << 20):  # a place where each stands; in steps, to need less memory
-            own = np.flatnonzero(inside[i : i + (1 << 20)]) + i
+        for s in _steps(len(ids)):  # a place where each stands
+            own = np.flatnonzero(inside[s]) + s.start
             at[ids[own]] = own
         self.sizes, self.ids = sizes, ids[inside]
+        del ids, inside, single
         self.numbers = np.flatnonzero(at >= 0)
         self.names = [joined[a : a + order] for a in at[self.numbers].tolist()]
         self.n = n
@@ -112,6 +124,7 @@ def _apart(batch: pa.RecordBatch, of: np.ndarray, blocks: int) -> np.ndarray:
 def _packed(df: DataFrame, kind: int, blocks: int) -> DataFrame:
     """(block, kind, payload): rows of a batch that share __block, as a compressed Arrow stream."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = batch.column(0).to_numpy()
@@ -143,7 +156,7 @@ def _unpack(group: pa.Table) -> tuple[pa.Table | None, list[str], np.ndarray]:
         if pair in left:
             left.remove(pair)
             trusted[i] = True
-    return docs, docs.column("text").to_pylist(), trusted
+    return docs.drop_columns(["text"]), docs.column("text").to_pylist(), trusted
 
 
 def _once(docs: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -181,7 +194,9 @@ def _gram_counts(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     if docs is None:
         return pa.table({"block": pa.array([], pa.int64()), "gram": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
     grams = Grams(texts)
+    del texts
     n = grams.counts(trusted & ~_held_back(docs))
+    settle()
     return pa.table({"block": pa.array(np.full(len(n), key[0].as_py()), pa.int64()), "gram": pa.array(grams.names, pa.string()), "n": pa.array(n, pa.int64())})
 
 
@@ -239,7 +254,8 @@ def _score_block(key: tuple[pa.Scalar, ...], group: pa.Table, known: pa.Table) -
     logs = dict(zip(known.column("gram").to_pylist(), known.column("logp").to_pylist(), strict=True))
     sums = grams.sums(np.fromiter(map(logs.__getitem__, grams.names), np.float64, len(grams.names)))
     bits = -sums / grams.sizes / math.log(2)
-    pa.default_memory_pool().release_unused()
+    del texts, grams.ids, logs
+    settle()
     return pa.table({"doc_id": docs.column("doc_id"), "key": docs.column("key"), "lang": docs.column("lang"), "trusted": pa.array(trusted), "held_back": pa.array(trusted & _held_back(docs)), "n": pa.array(grams.sizes, pa.int64()), "bits": pa.array(bits)})
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, Isotonic, fit, isotonic, sigmoid
-from .common import chunks, cut, fresh, table, text_of
+from .common import chunks, cut, fresh, settled, table, text_of
 from .words import KNOWN, Words, word_table, words_of
 
 #: Insults of four languages, in lower case, and words that address the reader. Fixed values.
@@ -159,6 +159,7 @@ def _stem_counts(df: DataFrame) -> DataFrame:
     """Rows (stem, n00, n01, n10, n11): in how many texts of each fold and label a stem occurs."""
     of = lambda fold, label: F.coalesce(F.sum(F.when((F.col("fold") == fold) & (F.col("toxic") == label), F.col("n"))), F.lit(0)).alias(f"n{fold}{label}")
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text", STEM_BYTES):
             w = words_of(texts)
@@ -215,6 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> Mod
     whole, halves = lexicon(None), {f: lexicon(1 - f) for f in (0, 1)}
     width = features(["a"], whole).shape[1]
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, chunk in chunks(batches, "text"):
             fold = batch.column(0).to_numpy()
@@ -244,6 +246,7 @@ def score(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
     names = docs.columns
     schema = docs.withColumn(name, F.lit(0.0)).schema
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(texts))], names=[*names, name])

@@ -46,7 +46,7 @@ def _powers(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _powers_for(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 21
+    size = 1 << 20
     if n > size:  # a single very long text: not kept
         size = n
         return _powers.__wrapped__(size)
